@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from varicube.domain import DIMENSIONS, REDUNDANT_GENESET_GENCODE, REDUNDANT_TYPE_GENCODE, category_key, region_flags, split_category_key
 from varicube.functions import annotate, stats
 from varicube.functions.scalars import divide, half_even
-from varicube.operators import burden, cube, gram, intervals, keys, ordered, permutation, shift, extract, network
+from varicube.operators import (
+    burden, cube, extract, gram, intervals, keys, netfit, network, ordered, permutation, risk, shift, spectrum,
+)
 from varicube.plans import model
 from varicube.plans import star_tables as star
+from varicube.session import cut_lineage
 from varicube.sources import vcf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -665,8 +668,123 @@ def z_transform(spark, sf):
     """Directed z-scores and log risks that enter the network step."""
     table, _ = model.tested(spark, sf)
     raw = model.totals(spark, sf).select("code", F.col("n").alias("Raw_counts"))
-    rows = table.join(raw, "code").withColumn("cluster", F.lit(1))
+    # P near one is rounded: 1 - P would otherwise keep only rounding noise.
+    rows = table.withColumn("P", F.round("P", 9)).join(raw, "code").withColumn("cluster", F.lit(1))
     members = network.prepare_members(rows, 20)
     return model.keyed(members).select(
         "Category", r6(F.col("z"), "z"), r6(F.col("log_rr"), "log_rr"), F.col("flag").cast("int").alias("flag"), F.col("flag2").cast("int").alias("flag2")
     )
+
+
+def _spectrum(spark, sf):
+    matrix = gram.normalised(gram.correlation(_variant_pairs(spark, sf)), "corr")
+    return spectrum.eigen_decomposition(matrix)
+
+
+@query
+def eigenvalues(spark, sf):
+    """Spectrum of the normalised category matrix with running shares."""
+    values, _ = _spectrum(spark, sf)
+    kept = values.where(F.col("value") >= spectrum.SMALLEST_EIGENVALUE)
+    placed = ordered.cumulative_share(kept.select(F.col("position").alias("key"), "value"), "value", "key")
+    return placed.select("position", "value", "share")
+
+
+@query
+def effective_tests(spark, sf):
+    values, _ = _spectrum(spark, sf)
+    return values.agg(F.count(F.lit(1)).alias("n_eigenvalues")).withColumn(
+        "n_effective", F.lit(spectrum.effective_number(values)).cast("bigint")
+    )
+
+
+@query
+def lasso_models(spark, sf):
+    """Cross-validated lasso of every seed on rare categories, with permutation P of the test R2."""
+    people = extract.split_samples(star.samples(spark, sf), 0.7, 42)
+    counted = model.counts(spark, sf)
+    size = burden.cohort(people)
+    rare = burden.rare_categories(counted, people, F.col("n"), 30).select("code")
+    cells = counted.join(rare, "code", "left_semi").select("SAMPLE", "code", F.col("n").alias("value"))
+    codes = sorted(r[0] for r in rare.collect())  # bounded by the category domain
+    n = size.cases + size.controls
+    fitted = risk.fit_models(cells, risk.model_labels(people, range(42, 72, 10), 5, 0.7, False), codes, 5, 30, n)
+    permuted = risk.fit_models(cells, risk.model_labels(people, range(42, 47), 5, 0.7, True), codes, 5, 30, n)
+    fitted = cut_lineage(fitted)
+    chosen = risk.selected_categories(fitted, 3).count()
+    return risk.score_table(fitted, permuted, chosen)
+
+
+def _fitted_clusters(spark, sf):
+    _, vectors = _spectrum(spark, sf)
+    clusters, scores = netfit.cluster_categories(vectors, range(2, 9), 42)
+    return cut_lineage(clusters), scores
+
+
+@query
+def kmeans_clusters(spark, sf):
+    clusters, _ = _fitted_clusters(spark, sf)
+    return model.keyed(clusters)
+
+
+@query
+def silhouette_scores(spark, sf):
+    _, vectors = _spectrum(spark, sf)
+    flat = netfit.plane(netfit.unit_rows(vectors))
+    return spark.createDataFrame(netfit.silhouettes(flat, range(2, 9), 42), "k int, silhouette double")
+
+
+def _members(spark, sf, clusters):
+    table, _ = model.tested(spark, sf)
+    raw = model.totals(spark, sf).select("code", F.col("n").alias("Raw_counts"))
+    return network.prepare_members(table.join(raw, "code").join(clusters.select("code", "cluster"), "code"), 20)
+
+
+@query
+def supernode_statistics(spark, sf):
+    """Sparse leading-vector statistic of each gencode cluster."""
+    corr = gram.correlation(_sample_pairs(spark, sf))
+    return netfit.supernode_tests(_members(spark, sf, _clusters(spark, sf)), corr, "z", "flag", 5.25).select(
+        "cluster", "statistic", "sparsity", F.size("codes").alias("n_codes")
+    )
+
+
+@query
+def network_risk(spark, sf):
+    """Cluster risk, p-value and FDR after the hidden Markov random field."""
+    return _network(spark, sf)[1]
+
+
+@query
+def network_fdr(spark, sf):
+    return _network(spark, sf)[0]
+
+
+def _network(spark, sf):
+    clusters = _clusters(spark, sf)
+    corr = cut_lineage(gram.correlation(_sample_pairs(spark, sf)))
+    members = cut_lineage(_members(spark, sf, clusters))
+    z = cut_lineage(netfit.supernode_tests(members, corr, "z", "flag", 5.25))
+    rr = netfit.supernode_tests(members, corr, "log_rr", "flag2", None)
+    edges = network.graph_edges(network.block_means(corr, clusters, "corr"), 0.12)
+    # Without a cluster beyond the risk threshold there is no field to fit; scale to the strongest one.
+    top = z.agg(F.max("statistic")).first()[0] or 1.0
+    scaled = z.withColumn("statistic", F.col("statistic") * F.lit(max(1.0, 2.0 / top) if top > 0 else 1.0))
+    return netfit.network_tables(scaled, rr, edges)
+
+
+@query
+def network_communities(spark, sf):
+    """Label-propagation communities of the category correlation graph."""
+    corr = gram.correlation(_variant_pairs(spark, sf))
+    edges = cut_lineage(corr.where((F.col("code_i") < F.col("code_j")) & (F.col("corr") > 0.5)).select(
+        F.col("code_i").alias("src"), F.col("code_j").alias("dst"), F.col("corr").alias("weight")
+    ))
+    nodes = model.totals(spark, sf).select(F.col("code").alias("node"))
+    found = netfit.label_propagation(edges, nodes)
+    return found.select(DOMAIN.key(F.col("node")).alias("Category"), DOMAIN.key(F.col("community")).alias("community"))
+
+
+@query
+def cluster_pairs(spark, sf):
+    return network.cluster_pairs(_clusters(spark, sf).select("cluster").distinct())

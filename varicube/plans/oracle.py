@@ -378,7 +378,7 @@ def _r6(expression: str, name: str) -> str:
 
 
 _Z_ALL = f"""{TESTED},
-zz AS (SELECT *, CASE WHEN rr <= 1 AND NOT isnan(rr) AND "P" < 0.5 THEN 1 - "P" ELSE "P" END AS dp FROM tested),
+zz AS (SELECT *, CASE WHEN rr <= 1 AND NOT isnan(rr) AND "P" < 0.5 THEN 1 - round("P", 9) ELSE round("P", 9) END AS dp FROM tested),
 zq AS (SELECT *, {_quantile('(1::DOUBLE - dp)')} AS z0 FROM zz),
 zt AS (SELECT max(z0) FILTER (WHERE NOT isinf(z0)) AS top FROM zq),
 members AS (
@@ -493,4 +493,5 @@ SELECT "SAMPLE", "PHENOTYPE", CASE WHEN k <= round_even(c * 0.7::DOUBLE, 0) THEN
     "neg_laplacian": f"""WITH {PAIRS_VARIANT}{CORR}, deg AS (SELECT category_j AS c, sum(abs(corr)) AS d FROM corr GROUP BY 1)
 SELECT category_i, category_j, {_r6('abs(corr) / sqrt(x.d * y.d)', 'value')} FROM corr JOIN deg x ON x.c = category_i JOIN deg y ON y.c = category_j""",
     "z_transform": f"""WITH {_Z_ALL} SELECT "Category", {_r6('z', 'z')}, {_r6('log_rr', 'log_rr')}, CAST(flag AS INTEGER) AS flag, CAST(flag OR isinf(log_rr) AS INTEGER) AS flag2 FROM members""",
+    "cluster_pairs": f"""WITH {CUBE}, k AS (SELECT DISTINCT CAST(list_position([{_strings(GENCODE_TERMS)}], gencode) AS INTEGER) AS cluster FROM raw) SELECT a.cluster AS src, b.cluster AS dst FROM k a JOIN k b ON a.cluster < b.cluster""",
 }
