@@ -83,10 +83,11 @@ def co_occurrence(rows: DataFrame, n_codes: int, weight: str | None = None, salt
                 ),
             ),
         ))
+        n_blocks = -(-n_codes // BLOCK)
         key = F.pmod(F.xxhash64(salt if salt else "codes"), F.lit(64))
         blocks = (
             split.select(F.inline(pairs), w.alias("w"), key.alias("_salt"))
-            .repartition("bi", "bj", "_salt")
+            .repartition(min(64 * n_blocks * (n_blocks + 1) // 2, 4096), "bi", "bj", "_salt")
             .sortWithinPartitions("bi", "bj")
             .select("bi", "bj", "left", "right", "w")
         )

@@ -25,6 +25,7 @@ SAMPLE_BLOCK = 4096
 CODE_BLOCK = 256
 TRIAL_BLOCK = 512
 FIRST_SEED = 10001
+MOST_TASKS = 4096
 
 LABELS = "trial bigint, sb bigint, bits binary"
 TILE = "tb bigint, cb bigint, sums binary"
@@ -120,7 +121,7 @@ def _add_tiles(n_trials: int, n_codes: int):
     return add
 
 
-def trial_totals(cells: DataFrame, labels: DataFrame, n_trials: int, n_codes: int) -> DataFrame:
+def trial_totals(cells: DataFrame, labels: DataFrame, n_samples: int, n_trials: int, n_codes: int) -> DataFrame:
     """Case and control totals: (trial, code, case_n, ctrl_n), unrounded.
 
     ``cells`` has ordinal (sample position), code and value.
@@ -142,9 +143,13 @@ def trial_totals(cells: DataFrame, labels: DataFrame, n_trials: int, n_codes: in
         ((F.col("trial") - 1) % TRIAL_BLOCK).cast("int").alias("row"),
         "bits",
     )
-    tiles = spread.groupBy("sb", "cb", "tb").cogroup(blocks.groupBy("sb", "cb", "tb")).applyInPandas(_tile, TILE)
+    # Explicit numbers keep AQE from merging partitions that are small in bytes but heavy in arithmetic.
+    key = ("sb", "cb", "tb")
+    n_tiles = min(-(-n_samples // SAMPLE_BLOCK) * n_cb * n_tb, MOST_TASKS)
+    spread, blocks = spread.repartition(n_tiles, *key), blocks.repartition(n_tiles, *key)
+    tiles = spread.groupBy(*key).cogroup(blocks.groupBy(*key)).applyInPandas(_tile, TILE)
     return (
-        tiles.repartition("tb", "cb")
+        tiles.repartition(min(n_tb * n_cb, MOST_TASKS), "tb", "cb")
         .sortWithinPartitions("tb", "cb")
         .mapInPandas(_add_tiles(n_trials, n_codes), TOTALS)
     )
@@ -175,7 +180,7 @@ def permuted_counts(
         labels = digest_labels(indexed, size.cases, n_trials)
     else:
         raise ValueError(f"unknown draw {draw!r}")
-    totals = trial_totals(cells, labels, n_trials, n_codes)
+    totals = trial_totals(cells, labels, n, n_trials, n_codes)
     seen = counts.select("code").distinct()
     return totals.join(seen, "code", "left_semi").select(
         "trial", "code",

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 N_LAMBDA = 100
 SLICE_SAMPLES = 200_000
+MOST_TASKS = 4096  # an explicit number keeps AQE from merging small but compute-heavy partitions
 MOMENTS = "seed bigint, moments binary"
 MODEL = "seed bigint, parameter double, r2 double, n_select bigint, n_rare bigint, codes array<bigint>, coefficients array<double>"
 
@@ -81,38 +82,49 @@ def _standardise(moments: np.ndarray):
     return n, means, centred, scale
 
 
-def lasso_path(moments: np.ndarray, lambdas: np.ndarray, tolerance: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
-    """Intercepts and coefficients along ``lambdas`` by coordinate descent on the correlation matrix."""
+def lasso_path(moments: np.ndarray, lambdas: np.ndarray, stop: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Intercepts and coefficients along ``lambdas`` by coordinate descent on the correlation matrix.
+
+    A penalty has converged when no update moves the fit by 1e-7 of the response variance. With ``stop``
+    the path ends once the explained share passes 0.999 or gains less than 1e-5.
+    """
     _, means, centred, scale = _standardise(moments)
     usable = scale > 1e-12
     scale = np.where(usable, scale, 1.0)
     gram = centred[:-1, :-1] / np.outer(scale, scale)
     target = np.where(usable, centred[:-1, -1] / scale, 0.0)
+    total = max(float(centred[-1, -1]), 1e-300)
+    tolerance = np.sqrt(1e-7 * total)
     beta = np.zeros(len(scale))
     residual = target.copy()  # target - gram @ beta
-    path = np.zeros((len(lambdas), len(scale)))
-    for step, penalty in enumerate(lambdas):
+    path, explained = [], 0.0
+    for penalty in lambdas:
         active = np.flatnonzero(beta != 0.0)
-        while True:
-            for _ in range(1000):
+        for _ in range(50):
+            for _ in range(200):
                 largest = 0.0
                 for j in active:
                     raw = residual[j] + beta[j]
                     new = np.sign(raw) * max(abs(raw) - penalty, 0.0)
                     change = new - beta[j]
                     if change != 0.0:
-                        residual -= gram[:, j] * change
+                        residual -= gram[j] * change
                         beta[j] = new
                         largest = max(largest, abs(change))
                 if largest < tolerance:
                     break
-            wrong = np.flatnonzero((beta == 0.0) & usable & (np.abs(residual) > penalty + tolerance))
+            wrong = np.flatnonzero((beta == 0.0) & usable & (np.abs(residual) > penalty * (1.0 + 1e-6)))
             wrong = np.setdiff1d(wrong, active)
             if not len(wrong):
                 break
             active = np.concatenate([active, wrong])
-        path[step] = beta / scale
-    return means[-1] - path @ means[:-1], path
+        path.append(beta / scale)
+        share = float(beta @ (target + residual)) / total
+        if stop and len(path) > 5 and (share > 0.999 or share - explained < 1e-5 * share):
+            break
+        explained = share
+    coefficients = np.array(path)
+    return means[-1] - coefficients @ means[:-1], coefficients
 
 
 def penalties(moments: np.ndarray, count: int = N_LAMBDA) -> np.ndarray:
@@ -144,16 +156,17 @@ def fit_folds(fold_moments: np.ndarray, rare: np.ndarray) -> tuple[float, float,
     grid = penalties(training)
     if not len(grid):
         return float("nan"), float("nan"), coefficients
+    intercepts, path = lasso_path(training, grid, stop=True)
+    grid = grid[: len(path)]
     error = np.zeros(len(grid))
     for fold in part[1:]:
         if fold[0, 0] > 0:
             error += squared_error(fold, *lasso_path(training - fold, grid))
     best = int(np.argmin(error))
-    intercepts, path = lasso_path(training, grid[: best + 1])
     coefficients[rare] = path[best]
     test = part[0]
     spread = test[-1, -1] - test[0, -1] ** 2 / test[0, 0] if test[0, 0] else 0.0
-    r2 = 1.0 - squared_error(test, intercepts[-1:], path[-1:])[0] / spread if spread > 0 else float("nan")
+    r2 = 1.0 - squared_error(test, intercepts[best:best + 1], path[best:best + 1])[0] / spread if spread > 0 else float("nan")
     return float(grid[best]), float(r2), coefficients
 
 
@@ -219,7 +232,7 @@ def _solve(codes: list[int], folds: int, rare_below: float):
 
 
 def fit_models(
-    cells: DataFrame, labels: DataFrame, codes: list[int], folds: int, rare_below: float, n_samples: int
+    cells: DataFrame, labels: DataFrame, codes: list[int], folds: int, rare_below: float, n_samples: int, n_seeds: int
 ) -> DataFrame:
     """One fitted model per seed. ``cells`` has SAMPLE, code and value for the candidate ``codes``.
 
@@ -238,11 +251,11 @@ def fit_models(
         "weight", F.lit(0).cast("bigint").alias("slice"),
     )
     moments = (
-        full.unionByName(empty).repartition("seed", "slice").sortWithinPartitions("seed")
+        full.unionByName(empty).repartition(min(n_seeds * slices, MOST_TASKS), "seed", "slice").sortWithinPartitions("seed")
         .select("seed", "fold", "y", "codes", "vals", "weight")
         .mapInPandas(_add_moments(codes, folds), MOMENTS)
     )
-    return moments.repartition("seed").sortWithinPartitions("seed").mapInPandas(_solve(codes, folds, rare_below), MODEL)
+    return moments.repartition(min(n_seeds, MOST_TASKS), "seed").sortWithinPartitions("seed").mapInPandas(_solve(codes, folds, rare_below), MODEL)
 
 
 def selected_categories(models: DataFrame, n_seeds: int) -> DataFrame:

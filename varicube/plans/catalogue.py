@@ -708,8 +708,8 @@ def lasso_models(spark, sf):
     cells = counted.join(rare, "code", "left_semi").select("SAMPLE", "code", F.col("n").alias("value"))
     codes = sorted(r[0] for r in rare.collect())  # bounded by the category domain
     n = size.cases + size.controls
-    fitted = risk.fit_models(cells, risk.model_labels(people, range(42, 72, 10), 5, 0.7, False), codes, 5, 30, n)
-    permuted = risk.fit_models(cells, risk.model_labels(people, range(42, 47), 5, 0.7, True), codes, 5, 30, n)
+    fitted = risk.fit_models(cells, risk.model_labels(people, range(42, 72, 10), 5, 0.7, False), codes, 5, 30, n, 3)
+    permuted = risk.fit_models(cells, risk.model_labels(people, range(42, 47), 5, 0.7, True), codes, 5, 30, n, 5)
     fitted = cut_lineage(fitted)
     chosen = risk.selected_categories(fitted, 3).count()
     return risk.score_table(fitted, permuted, chosen)
