@@ -743,8 +743,9 @@ def _members(spark, sf, clusters):
 @query
 def supernode_statistics(spark, sf):
     """Sparse leading-vector statistic of each gencode cluster."""
-    corr = gram.correlation(_sample_pairs(spark, sf))
-    return netfit.supernode_tests(_members(spark, sf, _clusters(spark, sf)), corr, "z", "flag", 5.25).select(
+    corr = cut_lineage(gram.correlation(_sample_pairs(spark, sf)))
+    members = cut_lineage(_members(spark, sf, _clusters(spark, sf)))
+    return netfit.supernode_tests(members, corr, "z", "flag", 5.25).select(
         "cluster", "statistic", "sparsity", F.size("codes").alias("n_codes")
     )
 
