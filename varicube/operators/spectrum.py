@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varicube.operators.ordered import cumulative_share
+from varicube.session import cut_lineage
 
 # A matrix of this many categories (128 MB) is solved in memory; larger ones by a distributed SVD.
 LOCAL_CATEGORIES = 4096
@@ -28,6 +29,7 @@ def eigen_decomposition(matrix: DataFrame, components: int | None = None) -> tup
     singular values its eigenvalues. The code list is bounded by the domain.
     """
     spark = matrix.sparkSession
+    matrix = cut_lineage(matrix.select("code_i", "code_j", "value"))
     codes = [r[0] for r in matrix.select("code_i").distinct().orderBy("code_i").collect()]
     n = len(codes)
     if n == 0:
@@ -35,8 +37,8 @@ def eigen_decomposition(matrix: DataFrame, components: int | None = None) -> tup
     place = {code: i for i, code in enumerate(codes)}
     if n <= LOCAL_CATEGORIES:
         dense = np.zeros((n, n))
-        for block in matrix.select("code_i", "code_j", "value").toLocalIterator():
-            dense[place[block[0]], place[block[1]]] = block[2]
+        cells = matrix.toPandas()
+        dense[cells["code_i"].map(place), cells["code_j"].map(place)] = cells["value"]
         values, vectors = np.linalg.eigh((dense + dense.T) / 2.0)
         order = np.argsort(-np.abs(values), kind="stable")[: components or n]
         values, vectors = values[order], vectors[:, order]
