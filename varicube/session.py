@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import shutil
 import tempfile
 from pathlib import Path
@@ -28,8 +30,12 @@ def _ship_package(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parent
-        stem = Path(tempfile.mkdtemp(prefix="varicube-ship-")) / package.name
-        context.addPyFile(shutil.make_archive(str(stem), "zip", package.parent, package.name))
+        with tempfile.TemporaryDirectory(prefix="varicube-ship-") as folder:
+            archive = shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name)
+            # The driver serves added files from their path, so the archive lives as long as the process.
+            kept = Path(archive).rename(f"{folder}.zip")
+        atexit.register(kept.unlink, missing_ok=True)
+        context.addPyFile(str(kept))
         _shipped.add(context.applicationId)
 
 
@@ -59,17 +65,28 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named in spark.checkpoint.dir. Only a local session, whose tasks share its disk, may leave it unset."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
     configured = context.getConf().get("spark.checkpoint.dir")
     if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="varicube-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        return configured
+    if context.master.startswith("local["):
+        return _local_checkpoint_folder()
+    raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+
+
+@functools.cache
+def _local_checkpoint_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="varicube-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_folder(spark))
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
