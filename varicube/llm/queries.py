@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from varicube.llm import exact_dedup, mixing, sharding
+from varicube.llm import archive, decontamination, exact_dedup, lattice, mixing, pii, quality, sharding, simhash, wrappers
 from varicube.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,12 @@ def query(function):
     return function
 
 
+@query
+def op1_quality(spark, sf):
+    docs = table(spark, sf, "documents")
+    return quality.scores(docs, quality.fit(docs, table(spark, sf, "labels")))
+
+
 @query
 def op2_mixing(spark, sf):
     return mixing.mixture(table(spark, sf, "documents")).drop("source", "copies")
@@ -46,6 +53,26 @@ SELECT doc_id, size, source_size, target,
 """
 
 
+@query
+def op3_lattice(spark, sf):
+    return lattice.scores(table(spark, sf, "documents"))
+
+
+@query
+def op4_decontamination(spark, sf):
+    return decontamination.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op5_wrappers(spark, sf):
+    return wrappers.main_text(table(spark, sf, "pages"))
+
+
+@query
+def op6_warc(spark, sf):
+    return archive.round_trip(table(spark, sf, "pages"))
+
+
 @query
 def op7_exact_dedup(spark, sf):
     return exact_dedup.classes(table(spark, sf, "documents"))
@@ -59,6 +86,17 @@ FROM t WINDOW g AS (PARTITION BY text)
 """
 
 
+@query
+def op8_simhash(spark, sf):
+    found = simhash.classes(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query
+def op9_pii(spark, sf):
+    return pii.find(table(spark, sf, "documents"))
+
+
 @query
 def op10_sharding(spark, sf):
     return sharding.shard_table(table(spark, sf, "documents")).drop("source")
