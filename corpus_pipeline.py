@@ -1,7 +1,64 @@
-"""The corpus pipeline: quality, near-duplicates, decontamination, mixing, sharding."""
+"""The corpus pipeline: quality, near-duplicates, decontamination, mixing, sharding.
 
+Every stage takes stored documents and returns a DataFrame; ``run`` writes each stage's result as Parquet into the
+shared folder and gives it to the next. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from varicube.llm import decontamination, mixing, quality, sharding, simhash
+from varicube.llm.common import table, work_folder
+from varicube.session import tune
+
+#: No SQL: dictionaries, fingerprints and BM25 retrieval have no SQL form. tests/llm has a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on a bounded sample of the labelled ones, accepts."""
+    model = quality.fit(docs, table(tune(spark), sf_dir, "labels"))
+    return quality.keep_good(docs, model)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    tune(spark)
+    return simhash.first_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.clean(docs, table(tune(spark), sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture of what is left takes it."""
+    tune(spark)
+    return mixing.mixed(docs)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All columns with shard and slot."""
+    tune(spark)
+    return sharding.sharded(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("SimHash near-dedup", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("sharding", sharding_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tune(spark), sf_dir, "documents")
+    folder = work_folder(spark, "pipeline")
+    for number, (_, stage) in enumerate(STAGES):
+        path = f"{folder}/{number}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

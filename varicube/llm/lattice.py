@@ -1,10 +1,12 @@
 """Language-model score by a subword lattice.
 
 The vocabulary is that of an existing subword tokenizer. Its pieces get unigram probabilities from the corpus: the
-tokenizer splits every distinct training word, pieces are counted as often as the word occurs, and the end of a text is
-one more outcome. A word's probability is the sum over all its segmentations into pieces, by a forward recursion in log
-space; a text's is the product over its words and its end, because a piece begins at every word and none crosses into
-the next. A character that is no piece is spelled by the tokenizer's byte pieces, so every text has a probability.
+tokenizer splits every distinct training word and pieces are counted as often as the word occurs. A word's lattice has
+an arc for every piece that fits, and one for the whole word if training has it, weighted by its discounted relative
+frequency; the discounted mass weights the segmentations into pieces. The forward recursion in log space sums all
+segmentations. A text's probability is the product over its words and its end, because a piece begins at every word and
+none crosses into the next. A character that is no piece is spelled by the tokenizer's byte pieces, so every text has a
+probability.
 
 Plan: words are counted per task and summed by word (every word of every text); each distinct word is scored once. A
 text needs its words' counts and scores back: words with more than a 65,536th of all tokens (so fewer than 65,536 of
@@ -12,7 +14,7 @@ them) are sent to every task, and the rest, each at most once per text, are join
 is stored data: rows are numbered by scan.
 
 Defined cases: a null text is empty and consists of its end; a null id counts as empty text in the fold; without
-training texts N is 0 and the pieces are equally likely; repeated rows get their own equal scores; an empty table gives
+training texts N is 0, the pieces are equally likely and a text ends after each word with probability 1/2; repeated rows get their own equal scores; an empty table gives
 an empty result; extra columns are ignored.
 """
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
@@ -122,8 +125,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "word string, n long, c long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
-def piece_log_p(counts: DataFrame, ends: int, vocabulary: Vocabulary, smoothing: float = SMOOTHING) -> tuple[list[float], float]:
-    """Natural log probabilities of the pieces and of a text's end, from the training words."""
+def piece_log_p(counts: DataFrame, vocabulary: Vocabulary, smoothing: float = SMOOTHING) -> list[float]:
+    """Natural log probabilities of the pieces, from the training words."""
     tokenizer_of = vocabulary.tokenizer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,8 +140,32 @@ def piece_log_p(counts: DataFrame, ends: int, vocabulary: Vocabulary, smoothing:
     counted = counts.where("c > 0").select("word", "c").mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     found = {r["piece"]: r["n"] for r in counted.collect()}  # one row per piece of the vocabulary
     size = len(vocabulary.pieces)
-    total = sum(found.values()) + ends + smoothing * (size + 1)
-    return [math.log((found.get(i, 0) + smoothing) / total) for i in range(size)], math.log((ends + smoothing) / total)
+    total = sum(found.values()) + smoothing * size
+    return [math.log((found.get(i, 0) + smoothing) / total) for i in range(size)]
+
+
+@dataclass(frozen=True)
+class WordModel:
+    """Probability of a word: its own arc, discounted, plus the discounted mass times the sum over its pieces."""
+
+    tokens: int
+    ends: int
+    distinct: int
+    discount: float
+
+    def log10(self, count: int, pieces: float) -> float:
+        if not self.tokens:
+            return pieces + math.log10(0.5)
+        whole = max(count - self.discount, 0) / self.tokens
+        share = self.discount * self.distinct / self.tokens or 0.5 / self.tokens
+        by_pieces = pieces + math.log10(share)
+        if not whole:
+            return by_pieces
+        most = max(math.log10(whole), by_pieces)
+        return most + math.log10(10 ** (math.log10(whole) - most) + 10 ** (by_pieces - most))
+
+    def end_log10(self) -> float:
+        return math.log10((self.ends or 0.5) / self.tokens) if self.tokens else math.log10(0.5)
 
 
 def scores(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
@@ -146,15 +173,21 @@ def scores(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
     vocabulary = Vocabulary(path)
     counts = checkpointed(word_counts(docs))
     ends = docs.where(crc_fold(F.col("doc_id"), FOLDS) != HELD_FOLD).count()
-    totals = counts.agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("distinct")).first()
+    totals = counts.agg(
+        F.sum("n").alias("n"), F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("distinct"),
+        F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice"),
+    ).first()
     train_tokens = (totals["c"] or 0) + ends
     base_total = train_tokens + (totals["distinct"] or 0) + (ends > 0) + 1
-    log_p, end_log_p = piece_log_p(counts, ends, vocabulary)
+    log_p = piece_log_p(counts, vocabulary)
+    # The usual estimate of the discount from words seen once and twice.
+    discount = min(0.9, max(0.1, totals["once"] / (totals["once"] + 2 * totals["twice"]))) if totals["once"] else 0.5
+    model = WordModel(train_tokens, ends, totals["distinct"] or 0, discount)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary, log_p)
         for batch in batches:
-            values = [lattice.log10(word) for word in batch.column("word").to_pylist()]
+            values = [model.log10(c, lattice.log10(w)) for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist())]
             yield pa.record_batch([*batch.columns, pa.array(values, pa.float64())], ["word", "n", "c", "p"])
 
     words = checkpointed(counts.select("word", "n", "c").mapInArrow(score, "word string, n long, c long, p double"))
@@ -163,7 +196,7 @@ def scores(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
     }
     numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     base = {w: math.log10((c + 1) / base_total) for w, (c, _) in frequent.items()}
-    end = (int(ends > 0), math.log10((ends + 1) / base_total), end_log_p / math.log(10))
+    end = (int(ends > 0), math.log10((ends + 1) / base_total), model.end_log10())
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slim_batches(batches):

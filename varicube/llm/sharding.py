@@ -76,9 +76,11 @@ def shard_table(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, **optio
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, **options) -> DataFrame:
-    """All columns of ``docs`` with shard and slot (prefixed with ``__`` where the table has such a column)."""
+    """All columns of ``docs`` with shard and slot (prefixed with ``__`` where the table has such a column).
+
+    ``docs`` is stored data: rows are numbered by scan."""
     row, = fresh(docs, "row")
-    kept = checkpointed(docs.withColumn(row, F.monotonically_increasing_id()))
+    kept = docs.withColumn(row, F.monotonically_increasing_id())
     text = F.coalesce(F.col("text"), F.lit(""))
     keys = kept.select(
         F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))).alias("stratum"),
