@@ -80,6 +80,10 @@ def _around(value: Column, masks: list[int]) -> Column:
     return F.transform(F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda mask: value.bitwiseXOR(mask))
 
 
+def _slots(segment: int, values: Column) -> Column:
+    return F.transform(values, lambda value: F.struct(F.lit(segment).alias("segment"), value.alias("value")))
+
+
 def links(codes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, hot: int = HOT) -> DataFrame:
     """(a, b) such that the components are those of all pairs of ``codes`` (distinct) within ``radius`` bits."""
     width = -(-BITS // segments)
@@ -90,8 +94,7 @@ def links(codes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, hot:
         bits = min(width, BITS - s * width)
         value = F.shiftrightunsigned("code", s * width).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
         filed.append(F.struct(F.lit(s).alias("segment"), value.alias("value")))
-        probes = F.transform(_around(value, ball(bits, reach[s])), lambda v, s=s: F.struct(F.lit(s).alias("segment"), v.alias("value")))
-        sought.append(probes)
+        sought.append(_slots(s, _around(value, ball(bits, reach[s]))))
     slot = ("segment", "value")
     tables = codes.select("code", F.explode(F.array(*filed)).alias("at")).select("code", "at.*")
     tables = tables.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy(*slot)))
