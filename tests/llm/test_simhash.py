@@ -7,19 +7,19 @@ import xxhash
 from varicube.llm import simhash
 
 
-def brute_fingerprint(text, k=3):
+def brute_fingerprint(text, k=3, seed=42):
     words = (text or "").encode().lower().split()
     if not words:
         return 0
-    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(max(1, len(words) - k + 1))]
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), seed) for i in range(max(1, len(words) - k + 1))]
     value = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
     return value - (1 << 64) if value >> 63 else value
 
 
 def brute_components(keyed, radius):
-    """keyed: {key: code}; the smallest key that each reaches."""
+    """keyed: {key: code or codes}; the smallest key that each reaches through any of its codes."""
     keys = sorted(keyed)
-    codes = np.array([keyed[k] for k in keys], dtype=np.int64).view(np.uint64)
+    table = np.array([np.atleast_1d(keyed[k]) for k in keys], dtype=np.int64).view(np.uint64)
     label = list(range(len(keys)))
 
     def find(i):
@@ -29,7 +29,7 @@ def brute_components(keyed, radius):
         return i
 
     for i in range(len(keys)):
-        for j in np.flatnonzero(np.bitwise_count(codes[: i + 1] ^ codes[i]) <= radius):
+        for j in np.flatnonzero((np.bitwise_count(table[: i + 1] ^ table[i]) <= radius).any(axis=1)):
             a, b = find(i), find(int(j))
             label[max(a, b)] = min(a, b)
     return {k: keys[find(i)] for i, k in enumerate(keys)}
@@ -52,8 +52,8 @@ def test_links_by_brute_force(spark, radius, segments, hot):
     if radius == 5:
         codes = planted(15, 5)
     else:
-        codes = planted(120, radius)
-    frame = spark.createDataFrame([(c,) for c in codes], "code long")
+        codes = planted(60, radius)
+    frame = spark.createDataFrame([(0, c) for c in codes], "table int, code long")
     from varicube.llm.components import components
 
     got = {r["node"]: r["root"] for r in components(simhash.links(frame, radius, segments, hot), "a", "b").collect()}
@@ -61,13 +61,14 @@ def test_links_by_brute_force(spark, radius, segments, hot):
     assert {c: got.get(c, c) for c in codes} == want
 
 
-def test_classes_by_brute_force(documents, edge):
+@pytest.mark.parametrize("tables", [1, 3])
+def test_classes_by_brute_force(documents, edge, tables):
     for frame in (documents, edge.where("doc_id is not null")):
         rows = frame.select("doc_id", "text").collect()
-        codes = {r["doc_id"]: brute_fingerprint(r["text"]) for r in rows}
+        codes = {r["doc_id"]: [brute_fingerprint(r["text"], seed=42 + t) for t in range(tables)] for r in rows}
         want = brute_components(codes, 2)
-        got = simhash.classes(frame).collect()
-        assert sorted((r["doc_id"], r["code"], r["component"]) for r in got) == sorted((r["doc_id"], codes[r["doc_id"]], want[r["doc_id"]]) for r in rows)
+        got = simhash.classes(frame, tables=tables).collect()
+        assert sorted((r["doc_id"], r["codes"], r["component"]) for r in got) == sorted((r["doc_id"], codes[r["doc_id"]], want[r["doc_id"]]) for r in rows)
 
 
 def test_first_of_each(edge, empty):
@@ -82,4 +83,4 @@ def test_long_text_in_pieces(monkeypatch):
     text = " ".join(str(i * i % 997) for i in range(5000))
     whole = simhash.fingerprint(text.encode())
     monkeypatch.setattr(simhash, "AT_ONCE", 100)
-    assert simhash.fingerprint(text.encode()) == whole == brute_fingerprint(text)
+    assert simhash.fingerprint(text.encode()) == whole == [brute_fingerprint(text)]

@@ -89,7 +89,7 @@ FROM t WINDOW g AS (PARTITION BY text)
 @query
 def op8_simhash(spark, sf):
     found = simhash.classes(table(spark, sf, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.element_at("codes", 1)), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 @query

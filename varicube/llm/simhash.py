@@ -13,6 +13,10 @@ fingerprints leave the tables and meet elsewhere, exactly: two of them within ``
 that is at most half the radius from one and the rest of it from the other, so each files itself under every such
 code, and a code links its fingerprints to one of them. Only true links arise, a bounded number per fingerprint.
 
+One fingerprint finds few of the pairs that share, say, nine tenths of their shingles. ``tables`` fingerprints of different
+hash seeds find more, at a cost that grows with their number and not with the radius. Rows are numbered by scan, so
+``docs`` is stored data.
+
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; a text shorter than a shingle
 is one shingle; null ids take part but never become a component's id unless it has no other; repeated rows share a
 component, and ``first_of_each`` keeps one of them; an empty table gives an empty result; extra columns pass through.
@@ -41,33 +45,36 @@ BITS = 64
 AT_ONCE = 1 << 16
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit fingerprint of UTF-8 text; shingles count as often as they occur."""
+def fingerprint(text: bytes, shingle: int = SHINGLE, tables: int = 1) -> list[int]:
+    """Signed 64-bit fingerprints of UTF-8 text, one per hash seed; shingles count as often as they occur."""
     words = text.lower().split()
     if not words:
-        return 0
+        return [0] * tables
     n = max(1, len(words) - shingle + 1)
-    counts = np.zeros(BITS, dtype=np.int64)
+    counts = np.zeros((tables, BITS), dtype=np.int64)
     digest = xxhash.xxh64_intdigest
     for start in range(0, n, AT_ONCE):
         stop = min(n, start + AT_ONCE)
         columns = [words[start + k : stop + k] for k in range(min(shingle, len(words)))]
-        hashes = np.array([digest(s, HASH_SEED) for s in map(b" ".join, zip(*columns))], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
+        shingles = list(map(b" ".join, zip(*columns)))
+        for t in range(tables):
+            hashes = np.array([digest(s, HASH_SEED + t) for s in shingles], dtype="<u8")
+            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[t] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
 
 
-def fingerprints(docs: DataFrame, *keys: str, shingle: int = SHINGLE) -> DataFrame:
-    """The key columns and ``code`` of each document."""
+def fingerprints(docs: DataFrame, *keys: str, shingle: int = SHINGLE, tables: int = 1) -> DataFrame:
+    """The key columns and ``codes``, the array of fingerprints, of each document."""
     rows = docs.select(*keys, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slim_batches(batches):
-            codes = [fingerprint(text, shingle) for text in utf8(batch.column("text"))]
-            yield pa.record_batch([*(batch.column(k) for k in keys), pa.array(codes, pa.int64())], [*keys, "code"])
+            codes = [fingerprint(text, shingle, tables) for text in utf8(batch.column("text"))]
+            yield pa.record_batch([*(batch.column(k) for k in keys), pa.array(codes, pa.list_(pa.int64()))], [*keys, "codes"])
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.mapInArrow(run, f"{kinds}, code long")
+    return rows.mapInArrow(run, f"{kinds}, codes array<long>")
 
 
 def ball(bits: int, reach: int) -> list[int]:
@@ -85,64 +92,79 @@ def _slots(segment: int, values: Column) -> Column:
 
 
 def links(codes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, hot: int = HOT) -> DataFrame:
-    """(a, b) such that the components are those of all pairs of ``codes`` (distinct) within ``radius`` bits."""
+    """(table, a, b) such that the components are those of all pairs of one table within ``radius`` bits.
+
+    ``codes`` holds distinct (table, code).
+    """
     width = -(-BITS // segments)
     spare = max(0, radius - segments + 1)
-    reach = [spare // segments + (s < spare % segments) for s in range(segments)] if radius >= segments - 1 else [0] * segments
+    reach = [spare // segments + (s < spare % segments) for s in range(segments)]
     filed, sought = [], []
     for s in range(segments):
         bits = min(width, BITS - s * width)
         value = F.shiftrightunsigned("code", s * width).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
         filed.append(F.struct(F.lit(s).alias("segment"), value.alias("value")))
         sought.append(_slots(s, _around(value, ball(bits, reach[s]))))
-    slot = ("segment", "value")
-    tables = codes.select("code", F.explode(F.array(*filed)).alias("at")).select("code", "at.*")
-    tables = tables.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy(*slot)))
-    tables = checkpointed(tables)
-    probes = codes.select(F.col("code").alias("a"), F.explode(F.concat(*sought)).alias("at")).select("a", "at.*")
-    cold = tables.where(F.col("shared") <= hot).select(F.col("code").alias("b"), *slot)
+    slot = ["table", "segment", "value"]
+    filings = codes.select("table", "code", F.explode(F.array(*filed)).alias("at")).select("table", "code", "at.*")
+    filings = checkpointed(filings.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy(*slot))))
+    probes = codes.select("table", F.col("code").alias("a"), F.explode(F.concat(*sought)).alias("at")).select("table", "a", "at.*")
+    cold = filings.where(F.col("shared") <= hot).select(F.col("code").alias("b"), *slot)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    found = probes.join(cold, [*slot]).where((F.col("a") < F.col("b")) & near).select("a", "b")
-    crowded = tables.where(F.col("shared") > hot)
-    outside = probes.join(crowded.select(*slot).distinct(), [*slot], "left_semi").select(F.col("a").alias("code"))
-    met = checkpointed(crowded.select("code").union(outside).distinct())
+    # A code within the reach of another has it within its own, so one direction is enough.
+    found = probes.join(cold, slot).where((F.col("a") < F.col("b")) & near).select("table", "a", "b")
+    crowded = filings.where(F.col("shared") > hot)
+    outside = probes.join(crowded.select(*slot).distinct(), slot, "left_semi").select("table", F.col("a").alias("code"))
+    met = checkpointed(crowded.select("table", "code").union(outside).distinct())
     return found.distinct().union(_through_codes(met, radius))
 
 
 def _through_codes(codes: DataFrame, radius: int) -> DataFrame:
     """Links by codes between two fingerprints: one at most radius // 2 away (close), the other the rest."""
     close, far = radius // 2, radius - radius // 2
-    between = codes.select("code", F.explode(_around(F.col("code"), ball(BITS, far))).alias("via"))
-    if far > close:
-        is_close = F.bit_count(F.col("code").bitwiseXOR(F.col("via"))) <= close
-    else:
-        is_close = F.lit(True)
-    first = F.min(F.when(is_close, F.col("code"))).over(Window.partitionBy("via"))
-    return between.select("code", first.alias("first")).where("first <> code").select(
-        F.col("code").alias("a"), F.col("first").alias("b")
+    between = codes.select("table", "code", F.explode(_around(F.col("code"), ball(BITS, far))).alias("via"))
+    is_close = F.bit_count(F.col("code").bitwiseXOR(F.col("via"))) <= close
+    first = F.min(F.when(is_close, F.col("code"))).over(Window.partitionBy("table", "via"))
+    return between.select("table", "code", first.alias("first")).where("first <> code").select(
+        "table", F.col("code").alias("a"), F.col("first").alias("b")
     ).distinct()
 
 
-def classes(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE, **search) -> DataFrame:
-    """One row per document: the key, ``code`` and ``component``, the smallest key that is reachable."""
-    marked = checkpointed(fingerprints(docs, key, shingle=shingle))
-    codes = checkpointed(marked.groupBy("code").agg(F.min(key).alias("smallest")))
-    roots = components(links(codes.select("code"), **search), "a", "b")
-    rooted = codes.join(roots, F.col("code") == F.col("node"), "left").select(
-        "code", "smallest", F.coalesce("root", "code").alias("root")
-    )
-    named = rooted.groupBy("root").agg(F.min("smallest").alias("component"))
-    table = rooted.join(named, "root").select("code", "component")
-    return marked.join(table, "code").select(key, "code", "component")
+def _groups(marked: DataFrame, **search) -> DataFrame:
+    """codes and ``root`` for each distinct ``codes`` of ``marked`` (row, codes); a root is the number of a row."""
+    tuples = checkpointed(marked.groupBy("codes").agg(F.min("row").alias("node")))
+    spread = tuples.select("node", F.posexplode("codes").alias("table", "code"))
+    owners = checkpointed(spread.groupBy("table", "code").agg(F.min("node").alias("owner")))
+    same = spread.join(owners, ["table", "code"]).where("node <> owner").select("node", "owner")
+    first, second = (owners.select("table", F.col("code").alias(c), F.col("owner").alias(f"{c}_owner")) for c in ("a", "b"))
+    close = links(owners.select("table", "code"), **search).join(first, ["table", "a"]).join(second, ["table", "b"])
+    roots = components(same.union(close.select("a_owner", "b_owner")), "node", "owner").withColumnRenamed("node", "member")
+    return tuples.join(roots, F.col("node") == F.col("member"), "left").select("codes", F.coalesce("root", "node").alias("root"))
+
+
+def _marked(docs: DataFrame, shingle: int, tables: int) -> DataFrame:
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    return checkpointed(fingerprints(numbered, "doc_id", "row", shingle=shingle, tables=tables))
+
+
+def classes(docs: DataFrame, shingle: int = SHINGLE, tables: int = 1, **search) -> DataFrame:
+    """One row per document: doc_id, ``codes`` and ``component``, the smallest id that is reachable.
+
+    With more ``tables``, each has its own hash seed, and documents that are near in any of them are linked.
+    """
+    marked = _marked(docs, shingle, tables)
+    groups = checkpointed(_groups(marked, **search))
+    smallest = marked.groupBy("codes").agg(F.min("doc_id").alias("smallest")).join(groups, "codes")
+    named = smallest.groupBy("root").agg(F.min("smallest").alias("component"))
+    table = checkpointed(groups.join(named, "root").select("codes", "component"))
+    return marked.join(table, "codes").select("doc_id", "codes", "component")
 
 
-def first_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each component: the smallest id. ``docs`` is stored data; rows are numbered by scan."""
+def first_of_each(docs: DataFrame, shingle: int = SHINGLE, tables: int = 1, **search) -> DataFrame:
+    """``docs`` with one row of each component, the one with the smallest id. ``docs`` is stored data."""
     row, = fresh(docs, "row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    # Ordered by id, then by row: the key is the pair, so repeated ids leave one row too.
-    key, = fresh(docs, "key")
-    keyed = numbered.withColumn(key, F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col(row).alias("row")))
-    found = classes(keyed.select(key, "text"), key=key, **options)
-    kept = found.where(F.col(key) == F.col("component")).select(F.col(f"{key}.row").alias(row))
-    return numbered.join(kept, row, "left_semi").drop(row)
+    marked = _marked(docs, shingle, tables)
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    firsts = marked.groupBy("codes").agg(F.min(place).alias("first")).join(_groups(marked, **search), "codes")
+    kept = firsts.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(checkpointed(kept), row, "left_semi").drop(row)
