@@ -53,7 +53,8 @@ def _parser() -> argparse.ArgumentParser:
             p.add_argument("--folds", type=int, default=5)
             p.add_argument("--permutations", type=int, default=1000)
             p.add_argument("--seed", type=int, default=42)
-    p = step("correlation", "counts", "level")
+    p = step("correlation", "counts")
+    p.add_argument("--level", required=True, choices=("sample", "variant"))
     p.add_argument("--category-info")
     p.add_argument("--domains", default="all")
     p.add_argument("--intersections", action="store_true")
@@ -77,7 +78,12 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> None:
-    a = _parser().parse_args(argv)
+    parser = _parser()
+    a = parser.parse_args(argv)
+    if a.step == "effective_num_test" and not a.samples and (a.count_threshold is None or a.format == "inter"):
+        parser.error("--samples is needed without --count-threshold and for --format inter")
+    if a.step == "correlation" and a.level == "variant" and not (a.vcf and a.genes and a.score_column):
+        parser.error("--level variant needs --vcf, --genes and --score-column")
     spark = build_session(f"varicube-{a.step}")
     if a.step == "preparation":
         steps.preparation(spark, _named_tracks(a.tracks), a.out)

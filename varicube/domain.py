@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -197,7 +198,14 @@ class CategoryDomain:
         ]
 
     def position(self, name: str, term: Column) -> Column:
-        return F.array_position(literal_array(self.terms[name]), term) - F.lit(1)
+        """Place of a term in its dimension; null for an unknown term."""
+        return F.nullif(F.array_position(literal_array(self.terms[name]), term), F.lit(0).cast("bigint")) - F.lit(1)
+
+    def parse_key(self, key: Column) -> list[Column]:
+        """The five terms of a key by the terms of the domain, which may hold underscores; null where it is no key."""
+        choices = ("|".join(re.escape(t) for t in sorted(self.terms[n], key=len, reverse=True)) for n in DIMENSIONS)
+        pattern = "^" + "_".join(f"({c})" for c in choices) + "$"
+        return [F.when(key.rlike(pattern), F.regexp_extract(key, pattern, i + 1)).alias(n) for i, n in enumerate(DIMENSIONS)]
 
     def encode(self, *columns: Column) -> Column:
         """Category code from five term columns given in DIMENSIONS order."""

@@ -129,8 +129,10 @@ def mask_terms(mask: Column, names) -> Column:
     return F.array_compact(F.array(*[F.when(bit_is_set(mask, i), F.lit(n)) for i, n in enumerate(names)]))
 
 
-def mask_columns(mask: Column, names) -> list[Column]:
-    """One 0/1 column per track."""
+def mask_columns(mask: Column, names, as_array: bool = False) -> list[Column]:
+    """One 0/1 column per track, from a BIGINT mask or an array of track numbers."""
+    if as_array:
+        return [F.coalesce(F.array_contains(mask, i), F.lit(False)).cast("int").alias(n) for i, n in enumerate(names)]
     return [bit_is_set(mask, i).cast("int").alias(n) for i, n in enumerate(names)]
 
 

@@ -265,8 +265,11 @@ def signed_binomial(trials: DataFrame, size: Cohort) -> DataFrame:
 
 
 def swap_within_groups(labels: DataFrame, group: str, label: str, seed: int) -> DataFrame:
-    """Swap the two labels of a group or leave them, by a seeded coin per group (groups of two rows)."""
-    coin = F.pmod(F.xxhash64(F.lit(seed).cast("bigint"), F.col(group)), F.lit(2)) == 1
-    both = labels.groupBy(group).agg(F.min(label).alias("_low"), F.max(label).alias("_high"))
-    other = F.when(F.col(label) == F.col("_low"), F.col("_high")).otherwise(F.col("_low"))
-    return labels.join(both, group).withColumn("swapped", F.when(coin, other).otherwise(F.col(label))).drop("_low", "_high")
+    """Swap the two labels of a group or leave them, by a seeded coin per group. Fails on a group of more than two rows."""
+    digit = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(group)).cast("binary")), 1, 1), 16, 10).cast("int")
+    both = labels.groupBy(group).agg(F.min(label).alias("_low"), F.max(label).alias("_high"), F.count(F.lit(1)).alias("_n"))
+    too_many = F.raise_error(F.concat(F.lit("more than two rows in group "), F.col(group))).cast("string")
+    low = F.when(F.col("_n") > 2, too_many).otherwise(F.col("_low"))
+    other = F.when(F.col(label) == low, F.col("_high")).otherwise(low)
+    swapped = F.when((digit % 2 == 1) | (F.col("_n") > 2), other).otherwise(F.col(label))
+    return labels.join(both, group).withColumn("swapped", swapped).drop("_low", "_high", "_n")

@@ -24,6 +24,15 @@ def _any(words, column: str = "Consequence") -> str:
     return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
 
 
+def _code_sql() -> str:
+    """A category's number: the places of its terms in mixed radix."""
+    code = "0::BIGINT"
+    for name in DIMENSIONS:
+        terms = star.DOMAIN.terms[name]
+        code = f"(({code}) * {len(terms)} + list_position([{_strings(terms)}], {name}) - 1)"
+    return f"CAST({code} AS BIGINT)"
+
+
 VARIANTS = f"""
 v AS (
   SELECT 'S' || CAST(o_custkey AS VARCHAR) AS "SAMPLE",
@@ -402,7 +411,7 @@ ORACLE: dict[str, str] = {
     "variant_type": f"""WITH {VARIANTS} SELECT {ROW}, CASE WHEN length("REF") = 1 AND length("ALT") = 1 THEN 'SNV' ELSE 'Indel' END AS variant_type FROM v""",
     "variant_class": f"""WITH {VARIANTS} SELECT {ROW}, CASE WHEN length("REF") > 1 THEN 'Deletion' WHEN length("ALT") = 1 THEN 'SNV' ELSE 'Insertion' END AS class FROM v""",
     "effective_gene": f"""WITH {VARIANTS} SELECT {ROW}, {GENE_OF} AS gene FROM v""",
-    "gene_left_join": f"""WITH {VARIANTS},{GENES} SELECT {ROW}, coalesce("ProteinCoding", 0) AS "ProteinCoding", coalesce("lincRNA", 0) AS "lincRNA", coalesce("Constrained", 0) AS "Constrained" FROM v LEFT JOIN (SELECT * FROM g WHERE p_retailprice < 1000) k ON k.gene_name = {GENE_OF}""",
+    "gene_left_join": f"""WITH {VARIANTS},{GENES} SELECT {ROW}, coalesce("ProteinCoding", 0) AS "ProteinCoding", coalesce("lincRNA", 0) AS "lincRNA", coalesce("Constrained", 0) AS "Constrained" FROM v LEFT JOIN g k ON k.gene_name = {GENE_OF} || CASE WHEN "POS" % 3 = 0 THEN '.1' ELSE '' END""",
     "gene_set_terms": f"""WITH {TERMS} SELECT {ROW}, {_sorted('gs')} AS gene_set FROM t""",
     "gencode_cascade": f"""WITH {TERMS} SELECT {ROW}, "LoF", "LoF_flags", "{SCORE}", {_sorted('gc')} AS gencode FROM t""",
     "damaging_missense": f"""WITH {VARIANTS} SELECT {ROW}, "{SCORE}", {MAX_SCORE} AS score, CAST(coalesce(({MAX_SCORE}) >= {star.SCORE_THRESHOLD}, false) AS INTEGER) AS damaging FROM v""",
@@ -428,7 +437,7 @@ SELECT "CHROM", "POS", "REF", "ALT", "SAMPLE", {KEY} AS "CATEGORY" FROM f5 WHERE
     "phenotype_join": f"""WITH {BURDEN} SELECT "SAMPLE", "PHENOTYPE", CAST(sum(n) AS BIGINT) AS n, count(*) AS n_categories FROM counts JOIN people USING ("SAMPLE") GROUP BY 1, 2""",
     "adjusted_counts": f"""WITH {BURDEN} SELECT "SAMPLE", "Category", n, {_r6('n * factor', 'adjusted')} FROM counts JOIN people USING ("SAMPLE")""",
     "semi_categories": f"""WITH {CUBE} SELECT "Category", count(*) AS n_samples, max(n) AS max_n FROM counts WHERE "Category" IN (SELECT "Category" FROM raw WHERE n >= 500) GROUP BY 1""",
-    "sample_set_equality": f"""WITH {VARIANTS}, l AS (SELECT DISTINCT "SAMPLE" FROM v WHERE "LoF" = 'HC'), r AS (SELECT DISTINCT 'S' || CAST(c_custkey AS VARCHAR) AS "SAMPLE" FROM customer)
+    "sample_set_equality": f"""WITH {VARIANTS}, l AS (SELECT DISTINCT "SAMPLE" FROM v), r AS (SELECT DISTINCT 'S' || CAST(c_custkey AS VARCHAR) AS "SAMPLE" FROM customer)
 SELECT "SAMPLE", 'left' AS side FROM l WHERE "SAMPLE" NOT IN (SELECT "SAMPLE" FROM r) UNION ALL SELECT "SAMPLE", 'right' FROM r WHERE "SAMPLE" NOT IN (SELECT "SAMPLE" FROM l)""",
     "cooccur_variant": f"""WITH {PAIRS_VARIANT} SELECT * FROM pairs""",
     "cooccur_sample": f"""WITH {PAIRS_SAMPLE} SELECT * FROM pairs""",
@@ -486,7 +495,11 @@ ed AS (SELECT min(n_cats) AS lo, max(n_cats) AS hi, greatest(1, (max(n_cats) - m
 SELECT category_set, phenotype, n_cats, CAST(1 + 2 * len(list_filter(list_slice(range(lo, hi + 1, step), 1, 6), lambda x: x < n_cats)) AS INTEGER) AS size FROM p2 CROSS JOIN ed""",
     "train_test_split": f"""WITH {PEOPLE}, r AS (SELECT *, row_number() OVER (PARTITION BY "PHENOTYPE" ORDER BY md5('42|' || "SAMPLE"), "SAMPLE") AS k, count(*) OVER (PARTITION BY "PHENOTYPE") AS c FROM people)
 SELECT "SAMPLE", "PHENOTYPE", CASE WHEN k <= round_even(c * 0.7::DOUBLE, 0) THEN 'training' ELSE 'test' END AS "SET" FROM r""",
-    "family_label_swap": f"""WITH {PEOPLE} SELECT "FAMILY", string_agg("PHENOTYPE", ',' ORDER BY "PHENOTYPE") AS before, string_agg("PHENOTYPE", ',' ORDER BY "PHENOTYPE") AS after_sorted FROM people GROUP BY 1""",
+    "family_label_swap": f"""WITH {PEOPLE}, ends AS (SELECT "FAMILY", min("PHENOTYPE") AS low, max("PHENOTYPE") AS high FROM people GROUP BY 1)
+SELECT "SAMPLE", "FAMILY", "PHENOTYPE", CASE WHEN CAST('0x' || substr(md5('7:' || "FAMILY"), 1, 1) AS INTEGER) % 2 = 1 THEN CASE WHEN "PHENOTYPE" = low THEN high ELSE low END ELSE "PHENOTYPE" END AS swapped
+FROM people JOIN ends USING ("FAMILY")""",
+    "category_key_codes": f"""WITH {CUBE} SELECT "Category", {_code_sql()} AS code, {_code_sql()} AS code_by_terms, "Category" AS again FROM raw""",
+    "bed_text_roundtrip": f"""WITH {TRACKS} SELECT chrom, start, "end", 'all' AS asked FROM iv UNION ALL SELECT chrom, start, "end", 'chr7' FROM iv WHERE chrom = 'chr7'""",
     "correlation_sample": f"""WITH {PAIRS_SAMPLE}{CORR} SELECT category_i, category_j, {_r6('corr', 'corr')} FROM corr""",
     "correlation_variant": f"""WITH {PAIRS_VARIANT}{CORR} SELECT category_i, category_j, {_r6('corr', 'corr')} FROM corr""",
     "covariance_inter": f"""WITH {PAIRS_VARIANT},{PEOPLE} SELECT category_i, category_j, {_r6('n * (n_case / (n_case + n_ctrl)::DOUBLE) * (n_ctrl / (n_case + n_ctrl)::DOUBLE)', 'value')} FROM pairs CROSS JOIN size""",

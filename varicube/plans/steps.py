@@ -94,18 +94,25 @@ def extract_variant(spark, vcf_path, gene_path, scores, score_column, threshold,
     termed, domain = _termed(spark, vcf_path, gene_path, scores, score_column, threshold)
     rows = extract.with_extract_terms(termed, score_column, threshold)
     if annotation_info:
-        rows = rows.select("*", annotate.variant_class(F.col("REF"), F.col("ALT")).alias("CLASS"), *annotate.mask_columns(F.col("ANNOT"), domain.tracks))
+        wide = rows.schema["ANNOT"].dataType.typeName() == "array"
+        in_set = [F.coalesce(F.array_contains("gene_sets", g), F.lit(False)).cast("int").alias(g) for g in domain.gene_sets]
+        rows = rows.select(
+            "*", annotate.variant_class(F.col("REF"), F.col("ALT")).alias("CLASS"), *in_set,
+            *annotate.mask_columns(F.col("ANNOT"), domain.tracks, wide),
+        )
     if set_path:
         wanted = tables.with_codes(tables.read_table(spark, set_path), domain)
         rows = extract.by_category_set(rows, wanted, domain).withColumn("CATEGORY", domain.key(F.col("code"))).drop("code")
     else:
         rows = rows.drop(*cube.TERM_ARRAYS)
-    result = rows.drop("gene_sets") if annotation_info else extract.slim(rows)
+    result = rows.drop("gene_sets", "ANNOT") if annotation_info else extract.slim(rows)
     tables.write_table(result, f"{out_dir}/extracted_variants", gzip=True)
 
 
 def correlation(spark, counts_dir, out_dir, level, info_path=None, domains="all", intersections=False, variants=None) -> None:
     """``level`` is ``sample``, or ``variant`` with ``variants`` holding the categorization inputs."""
+    if level not in ("sample", "variant"):
+        raise ValueError(f"level must be sample or variant, not {level}")
     counts, domain = tables.read_counts(spark, counts_dir)
     if level == "variant":
         termed, domain = _termed(spark, *variants)
@@ -129,6 +136,8 @@ def correlation(spark, counts_dir, out_dir, level, info_path=None, domains="all"
 
 def effective_num_test(spark, matrix_path, category_counts_path, domain, samples_path, out_dir, matrix="corr", threshold=None, components=None) -> int:
     pairs = spark.read.parquet(matrix_path)
+    if threshold is None and not samples_path or matrix == "inter" and not samples_path:
+        raise ValueError("samples are needed for the count threshold and for the covariance")
     size = burden.cohort(tables.read_samples(spark, samples_path)) if samples_path else None
     cut = threshold if threshold is not None else stats.count_threshold(size.case_share)
     raw = tables.with_codes(tables.read_table(spark, category_counts_path), domain).where(F.col("Raw_counts") >= cut).select("code")
@@ -184,15 +193,16 @@ def dawn(spark, vectors_path, correlation_path, permutation_path, counts_path, d
     members = cut_lineage(network.prepare_members(tested.join(raw, "code").join(clusters, "code"), min_count))
     large = network.cluster_sizes(members).where(F.col("size") >= min_size).select("cluster")
     members = members.join(large, "cluster", "left_semi")
-    z = cut_lineage(netfit.supernode_tests(members, corr, "z", "flag", sparsity))
-    rr = netfit.supernode_tests(members, corr, "log_rr", "flag2", None)
     kept = clusters.join(large, "cluster", "left_semi")
     edges = cut_lineage(network.graph_edges(network.block_means(corr, kept, "corr"), min_corr))
-    fdr, risks = netfit.network_tables(z, rr, edges)
-    for frame, name in ((edges, "adjacency"), (fdr, "cluster_fdr"), (risks, "cluster_risk")):
-        tables.write_table(frame, f"{out_dir}/{name}", sep=",")
     named = clusters.select("cluster", domain.key(F.col("code")).alias("Category"))
-    tables.write_table(named, f"{out_dir}/cluster_annotation", sep=",")
-    tables.write_table(network.representative_terms(named), f"{out_dir}/cluster_terms", sep=",")
+    for frame, name in ((edges, "adjacency"), (named, "cluster_annotation"), (network.representative_terms(named), "cluster_terms")):
+        tables.write_table(frame, f"{out_dir}/{name}", sep=",")
     if scores:
         tables.write_table(spark.createDataFrame(scores, "k int, silhouette double"), f"{out_dir}/silhouette", sep=",")
+    # The tests come last: they fail where no cluster exceeds the threshold, and the tables above stay.
+    z = cut_lineage(netfit.supernode_tests(members, corr, "z", "flag", sparsity))
+    rr = netfit.supernode_tests(members, corr, "log_rr", "flag2", None)
+    fdr, risks = netfit.network_tables(z, rr, edges)
+    tables.write_table(fdr, f"{out_dir}/cluster_fdr", sep=",")
+    tables.write_table(risks, f"{out_dir}/cluster_risk", sep=",")

@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varicube.domain import DIMENSIONS, CategoryDomain
 
-INTERVAL = "chrom string, start bigint, end bigint"
+# Lines of an interval file that hold no interval: blank, comments, browser lines, and a line of column names.
+NO_INTERVAL = r"(?i)^(?:\s*$|#|track\b|browser\b|[^\t]*\t(?:chrom)?start\t(?:chrom)?end(?:\t|$))"
 
 
 def read_intervals(spark: SparkSession, path: str, contig: str | None = None) -> DataFrame:
-    """A BED file (plain or gzip): first three columns, header and comment lines skipped."""
-    rows = spark.read.csv(path, sep="\t", schema=INTERVAL, comment="#", mode="DROPMALFORMED")
+    """A BED file (plain or gzip): its first three columns. A line that is no interval and no header fails the read."""
+    lines = spark.read.text(path).where(~F.col("value").rlike(NO_INTERVAL))
+    cells = F.split("value", "\t", -1)
+
+    def position(i: int):
+        value = F.get(cells, i).try_cast("bigint")
+        bad = F.raise_error(F.concat(F.lit("not an interval: "), "value")).cast("bigint")
+        return F.when(value.isNull(), bad).otherwise(value)
+
+    rows = lines.select(F.get(cells, 0).alias("chrom"), position(1).alias("start"), position(2).alias("end"))
     return rows.where(F.col("chrom") == contig) if contig else rows
 
 
@@ -41,14 +49,6 @@ def read_segments(spark: SparkSession, out_dir: str) -> tuple[DataFrame, list[st
     return spark.read.parquet(f"{out_dir}/segments"), names
 
 
-def write_merged_bed(segments: DataFrame, names: list[str], path: str) -> None:
-    """Gzip text parts: key line and column line first, then rows in coordinate order."""
-    head = segments.sparkSession.createDataFrame([("#ANNOT=" + "|".join(names) + "\n#chrom\tstart\tend\tannot_int",)], "value string")
-    head.coalesce(1).write.mode("overwrite").option("compression", "gzip").text(f"{path}/part=0")
-    lines = segments.repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start")
-    lines.select(F.concat_ws("\t", "chrom", "start", "end", "mask").alias("value")).write.mode("overwrite").option("compression", "gzip").text(f"{path}/part=1")
-
-
 def read_gene_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     """(gene_name, gene_sets) and the set names; the last row of a repeated name wins.
 
@@ -80,10 +80,6 @@ def write_table(frame: DataFrame, path: str, gzip: bool = False, sep: str = "\t"
     frame.write.mode("overwrite").csv(path, sep=sep, header=True, compression="gzip" if gzip else "none")
 
 
-def read_lines(spark: SparkSession, path: str) -> list[str]:
-    return [r[0] for r in spark.read.text(path).collect()]
-
-
 def write_counts(counts: DataFrame, domain: CategoryDomain, out_dir: str) -> None:
     """Category counts as long parquet, and the domain that decodes them."""
     counts.write.mode("overwrite").parquet(f"{out_dir}/counts")
@@ -98,23 +94,17 @@ def read_counts(spark: SparkSession, out_dir: str) -> tuple[DataFrame, CategoryD
 
 
 def with_codes(frame: DataFrame, domain: CategoryDomain) -> DataFrame:
-    """Category codes from a Category key column (terms free of underscores)."""
-    parts = F.split("Category", "_")
-    return frame.withColumn("code", domain.encode(*[parts[i] for i in range(len(DIMENSIONS))]))
-
-
-def read_settings(path: str) -> dict[str, str]:
-    """``KEY=VALUE`` lines; blank lines and comments are skipped."""
-    settings = {}
-    for line in Path(path).read_text().splitlines():
-        if line.strip() and not line.lstrip().startswith("#"):
-            key, _, value = line.partition("=")
-            settings[key.strip()] = value.strip().strip("\"'")
-    return settings
+    """Category codes, from the five term columns where the table has them, else from the Category key.
 
-
-def write_settings(settings: dict[str, str], path: str) -> None:
-    Path(path).write_text("".join(f"{k}={v}\n" for k, v in settings.items()))
+    A category outside the domain fails the read.
+    """
+    if set(DIMENSIONS) <= set(frame.columns):
+        terms, shown = [F.col(name) for name in DIMENSIONS], F.concat_ws("_", *DIMENSIONS)
+    else:
+        terms, shown = domain.parse_key(F.col("Category")), F.col("Category")
+    code = domain.encode(*terms)
+    unknown = F.raise_error(F.concat(F.lit("category outside the domain: "), F.coalesce(shown, F.lit("null")))).cast("bigint")
+    return frame.withColumn("code", F.when(code.isNull(), unknown).otherwise(code))
 
 
 def choose_domains(wanted: str, flags: list[str]) -> list[str]:

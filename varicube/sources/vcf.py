@@ -75,7 +75,7 @@ def read_variants(spark: SparkSession, path: str, partitions: int | None = None)
     cells = F.split("value", "\t", -1)
     table = rows.select(*[cells[i].alias(name) for i, name in enumerate(header.columns)])
     table = table.withColumn("_info", info_map(F.col("INFO")))
-    keys = [k for k in _info_keys(header) if k not in ("CSQ", "ANNOT")]
+    keys = [k for k in _info_keys(table, header) if k not in ("CSQ", "ANNOT")]
     fixed = [F.col(c) for c in header.columns if c != "INFO"]
     extra = [F.try_element_at("_info", F.lit(k)).alias(k) for k in keys]
     csq = csq_columns(F.try_element_at("_info", F.lit("CSQ")), header.csq_fields)
@@ -86,23 +86,31 @@ def read_variants(spark: SparkSession, path: str, partitions: int | None = None)
     return table.select(*fixed, *extra, *csq, *annot), header
 
 
-def _info_keys(header: VariantHeader) -> list[str]:
-    found = [re.search(r"^##INFO=<ID=([^,>]+)", line) for line in header.lines]
-    keys = [m.group(1) for m in found if m]
+def _info_keys(table: DataFrame, header: VariantHeader) -> list[str]:
+    """INFO keys that the header declares, then those found in the rows only: one distinct over the keys."""
+    declared = [m.group(1) for m in (re.search(r"^##INFO=<ID=([^,>]+)", line) for line in header.lines) if m]
+    found = [r[0] for r in table.select(F.explode(F.map_keys("_info"))).distinct().collect()]
+    others = sorted(k for k in found if k and k not in declared and k not in header.columns)
+    keys = [*declared, *others]
     return keys if "SAMPLE" in keys else ["SAMPLE", *keys]
 
 
 def _annot_column(text: Column, n_tracks: int) -> Column:
+    """A mask as BIGINT, or with more than 62 tracks the comma-separated track numbers as an array."""
     if n_tracks <= 62:
         return text.cast("bigint").alias("ANNOT")
-    # Wider masks do not fit a BIGINT: base-2 digits of the decimal text become track ids.
-    wide = F.udf(lambda s: [i for i in range(n_tracks) if int(s) >> i & 1] if s else [], "array<int>")
-    return wide(text).alias("ANNOT")
+    numbers = F.filter(F.split(F.coalesce(text, F.lit("")), ","), lambda t: t != "").cast("array<int>")
+    return numbers.alias("ANNOT")
 
 
 def annotated_lines(variants: DataFrame, columns) -> DataFrame:
-    """Text lines of an annotated variant file: INFO extended with ``ANNOT=n``."""
-    cells = [F.concat(F.col("INFO"), F.lit(";ANNOT="), F.col("ANNOT").cast("string")) if c == "INFO" else F.col(c) for c in columns]
+    """Text lines of an annotated variant file: INFO extended with ``ANNOT=`` and the mask or the track numbers."""
+    annot = F.col("ANNOT")
+    if variants.schema["ANNOT"].dataType.typeName() == "array":
+        value = F.array_join(annot.cast("array<string>"), ",")
+    else:
+        value = annot.cast("string")
+    cells = [F.concat(F.col("INFO"), F.lit(";ANNOT="), value) if c == "INFO" else F.col(c) for c in columns]
     return variants.select(F.concat_ws("\t", *cells).alias("value"))
 
 
@@ -124,4 +132,4 @@ def write_annotated(variants: DataFrame, header: VariantHeader, tracks, out_dir:
 
 def chromosome_rank(chrom: Column) -> Column:
     """Version order of chromosome names: numbers by value, then the rest."""
-    return F.coalesce(F.regexp_extract(chrom, r"^chr(\d+)$", 1).try_cast("int"), F.lit(1_000_000))
+    return F.coalesce(F.regexp_extract(chrom, r"^(?:chr)?(\d+)$", 1).try_cast("int"), F.lit(1_000_000))
