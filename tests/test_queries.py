@@ -9,6 +9,7 @@ SF = "/root/testdata/sf0.001"
 CHECKED = (
     "info_parse_kv", "csq_positional_split", "gencode_cascade", "extract_region_flags", "redundant_rule_table",
     "category_set_extract", "bed_merge", "interval_overlap_left0", "cooccur_variant", "adjusted_relative_risk",
+    "category_key_codes", "bed_text_roundtrip", "family_label_swap", "gene_left_join", "sample_set_equality",
     "binomial_burden", "permutation_pvalue", "burden_shift", "neg_laplacian", "train_test_split", "bh_fdr",
 )
 

@@ -77,6 +77,38 @@ def test_pipeline(spark, tmp_path):
     assert found == keyed.where(F.col("Category") == category).agg(F.sum("n")).first()[0]
 
 
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    """All eleven steps by their command line, risk score and network included."""
+    from varicube import cli
+
+    monkeypatch.setattr(cli, "build_session", lambda app: spark)
+    write_inputs(tmp_path)
+    at = lambda name: str(tmp_path / name)
+    run = lambda text: cli.main(text.format(**places).split())
+    places = {n: at(n) for n in ("prep", "annotated", "cat", "binom", "perm", "shift", "corr", "eff", "extract", "risk", "net")}
+    places |= {"score": at("score.bed.gz"), "enhancer": at("enhancer.bed.gz"), "vcf": at("in.vcf.gz"), "genes": at("genes.txt"), "samples": at("samples.txt")}
+    source = "--vcf {annotated} --genes {genes} --scores score --score-column MisDb_MPC --threshold 2"
+    run("preparation --tracks {score}=score {enhancer}=enhancer --out {prep}")
+    run("annotation --vcf {vcf} --segments {prep} --out {annotated}")
+    run(f"categorization {source} --out {{cat}}")
+    run("binomial_test --counts {cat} --samples {samples} --out {binom}")
+    run("permutation_test --counts {cat} --samples {samples} --trials 20 --burden-shift --out {perm}")
+    run("burden_shift --counts {cat} --burden {binom}/burden_test --pvals {perm}/binom_pvals --category-info {binom}/category_info --category-counts {binom}/category_counts --out {shift}")
+    run("correlation --counts {cat} --level sample --out {corr}")
+    run("effective_num_test --counts {cat} --matrix {corr}/correlation_matrix/domain=all --category-counts {binom}/category_counts --samples {samples} --out {eff}")
+    assert "effective tests:" in capsys.readouterr().out
+    run(f"extract_variant {source} --annotation-info --out {{extract}}")
+    extracted = tables.read_table(spark, places["extract"] + "/extracted_variants")
+    assert {"CLASS", "ProteinCoding", "Risk", "score", "enhancer"} <= set(extracted.columns) and extracted.count() == 900
+    run("risk_score --counts {cat} --samples {samples} --regressions 2 --permutations 2 --rare-below 8 --out {risk}")
+    assert tables.read_table(spark, places["risk"] + "/lasso_results").count() >= 1
+    try:
+        run("dawn --counts {cat} --vectors {eff}/eig_vecs --matrix {corr}/correlation_matrix/domain=all --permutation {perm}/burden_test --category-counts {binom}/category_counts --k 4 --out {net}")
+    except ValueError as error:
+        assert "no cluster exceeds" in str(error)  # the data hold no signal; the network itself is there
+    assert tables.read_table(spark, places["net"] + "/cluster_terms").count() >= 1
+
+
 def test_incremental_counts_equal_batch(spark, tmp_path):
     from varicube.operators.cube import category_counts
     from varicube.plans import star_tables as star
