@@ -553,41 +553,31 @@ def volcano_points(spark, sf):
 TRIALS = 20
 
 
-def _permuted(spark, sf, trials=TRIALS, carriers=False):
-    people = star.samples(spark, sf)
-    size = burden.cohort(people)
-    rows = permutation.permuted_counts(
-        model.counts(spark, sf), people, size, trials, DOMAIN.size, F.col("n"), carriers, draw="digest"
-    )
-    return rows, size
-
-
 @query
 def permutation_risk(spark, sf):
-    rows, size = _permuted(spark, sf)
-    return model.keyed(permutation.permuted_risk(rows, size)).select("trial", "Category", "case_n", "ctrl_n", r6(F.col("perm_rr"), "perm_rr"))
+    given = model.Inputs(spark, sf)
+    risks = permutation.permuted_risk(given.permuted(TRIALS), given.size)
+    return model.keyed(risks).select("trial", "Category", "case_n", "ctrl_n", r6(F.col("perm_rr"), "perm_rr"))
 
 
 @query
 def permutation_carriers(spark, sf):
-    rows, _ = _permuted(spark, sf, carriers=True)
-    return model.keyed(rows)
+    return model.keyed(model.Inputs(spark, sf).permuted(TRIALS, carriers=True))
 
 
 @query
 def permutation_pvalue(spark, sf):
-    rows, size = _permuted(spark, sf)
-    table, _ = model.risk_table(spark, sf)
-    result = permutation.permutation_p(permutation.permuted_risk(rows, size), table, TRIALS)
+    given = model.Inputs(spark, sf)
+    result = permutation.permutation_p(permutation.permuted_risk(given.permuted(TRIALS), given.size), given.table(), TRIALS)
     return model.keyed(result).select("Category", "n_extreme", r6(F.col("P"), "P"))
 
 
 @query
 def permutation_two_stage(spark, sf):
     """Low P values are refined with three times the trials."""
-    table, size = model.risk_table(spark, sf)
+    given = model.Inputs(spark, sf)
     result = permutation.two_stage_p(
-        model.counts(spark, sf), star.samples(spark, sf), size, table, TRIALS, DOMAIN.size, F.col("n"),
+        given.counts, given.people, given.size, cut_lineage(given.table()), TRIALS, DOMAIN.size, F.col("n"),
         draw="digest", cut=0.1, factor=3,
     )
     return model.keyed(result).select("Category", "n_extreme", F.col("n_trials").cast("int").alias("n_trials"), r6(F.col("P"), "P"))
@@ -596,10 +586,9 @@ def permutation_two_stage(spark, sf):
 @query
 def permutation_seeded(spark, sf):
     """Permutation P from the seeded generator (100 trials)."""
-    people = star.samples(spark, sf)
-    table, size = model.risk_table(spark, sf)
-    rows = permutation.permuted_counts(model.counts(spark, sf), people, size, 100, DOMAIN.size, F.col("n"))
-    result = permutation.permutation_p(permutation.permuted_risk(rows, size), table, 100)
+    given = model.Inputs(spark, sf)
+    rows = given.permuted(100, draw="seeded")
+    result = permutation.permutation_p(permutation.permuted_risk(rows, given.size), given.table(), 100)
     return model.keyed(result).select("Category", "n_extreme", r6(F.col("P"), "P"))
 
 
@@ -608,16 +597,17 @@ SHIFT_TRIALS = 5
 
 @query
 def permutation_signed_binomial(spark, sf):
-    rows, size = _permuted(spark, sf, SHIFT_TRIALS)
-    return model.keyed(permutation.signed_binomial(rows, size)).select("trial", "Category", r6(F.col("signed_p"), "signed_p"))
+    given = model.Inputs(spark, sf)
+    signed = permutation.signed_binomial(given.permuted(SHIFT_TRIALS), given.size)
+    return model.keyed(signed).select("trial", "Category", r6(F.col("signed_p"), "signed_p"))
 
 
 def _shift(spark, sf):
-    rows, size = _permuted(spark, sf, SHIFT_TRIALS)
-    table, _ = model.tested(spark, sf)
-    raw = model.totals(spark, sf).select("code", F.col("n").alias("Raw_counts"))
-    sets = shift.category_sets(cube.category_universe(raw, DOMAIN))
-    return shift.burden_shift(sets, raw, table, permutation.signed_binomial(rows, size), SHIFT_TRIALS, 7, 0.05)
+    given = model.Inputs(spark, sf)
+    raw = cut_lineage(given.totals().select("code", F.col("n").alias("Raw_counts")))
+    sets = cut_lineage(shift.category_sets(cube.category_universe(raw, DOMAIN)))
+    signed = cut_lineage(permutation.signed_binomial(given.permuted(SHIFT_TRIALS), given.size))
+    return shift.burden_shift(sets, raw, cut_lineage(given.tested()), signed, SHIFT_TRIALS, 7, 0.05)
 
 
 @query
@@ -709,6 +699,15 @@ def eigenvalues(spark, sf):
     return placed.select("position", "value", "share")
 
 
+@query
+def eigen_moments(spark, sf):
+    """Number, sum and sum of squares of the eigenvalues: the order, trace and squared Frobenius norm of the matrix."""
+    values, _ = _spectrum(spark, sf)
+    return values.agg(
+        F.count(F.lit(1)).alias("n"), r6(F.sum("value"), "trace"), r6(F.sum(F.col("value") * F.col("value")), "frobenius")
+    )
+
+
 @query
 def effective_tests(spark, sf):
     values, _ = _spectrum(spark, sf)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varicube.operators import burden, cube
+from varicube.operators import burden, cube, permutation
 from varicube.plans import star_tables as star
+from varicube.session import cut_lineage
 
 DOMAIN = star.DOMAIN
 
@@ -32,5 +33,28 @@ def tested(spark: SparkSession, sf: str) -> tuple[DataFrame, burden.Cohort]:
     return burden.binomial_test(table, size, "Case_DNV_Count", "Ctrl_DNV_Count"), size
 
 
+class Inputs:
+    """Samples and category counts of one query, computed once and read from the checkpoint by all its parts."""
+
+    def __init__(self, spark: SparkSession, sf: str):
+        self.people = cut_lineage(star.samples(spark, sf))
+        self.size = burden.cohort(self.people)
+        self.counts = cut_lineage(counts(spark, sf))
+
+    def table(self, carriers: bool = False) -> DataFrame:
+        return burden.burden_table(self.counts, self.people, self.size, F.col("n"), carriers)
+
+    def tested(self) -> DataFrame:
+        return burden.binomial_test(self.table(), self.size, "Case_DNV_Count", "Ctrl_DNV_Count")
+
+    def totals(self) -> DataFrame:
+        return self.counts.groupBy("code").agg(F.sum("n").alias("n"))
+
+    def permuted(self, trials: int, carriers: bool = False, draw: str = "digest") -> DataFrame:
+        return permutation.permuted_counts(
+            self.counts, self.people, self.size, trials, DOMAIN.size, F.col("n"), carriers, draw=draw
+        )
+
+
 def keyed(frame: DataFrame) -> DataFrame:
     return frame.withColumn("Category", DOMAIN.key(F.col("code"))).drop("code")

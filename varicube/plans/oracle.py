@@ -505,6 +505,9 @@ FROM people JOIN ends USING ("FAMILY")""",
     "covariance_inter": f"""WITH {PAIRS_VARIANT},{PEOPLE} SELECT category_i, category_j, {_r6('n * (n_case / (n_case + n_ctrl)::DOUBLE) * (n_ctrl / (n_case + n_ctrl)::DOUBLE)', 'value')} FROM pairs CROSS JOIN size""",
     "neg_laplacian": f"""WITH {PAIRS_VARIANT}{CORR}, deg AS (SELECT category_j AS c, sum(abs(corr)) AS d FROM corr GROUP BY 1)
 SELECT category_i, category_j, {_r6('abs(corr) / sqrt(x.d * y.d)', 'value')} FROM corr JOIN deg x ON x.c = category_i JOIN deg y ON y.c = category_j""",
+    "eigen_moments": f"""WITH {PAIRS_VARIANT}{CORR}, deg AS (SELECT category_j AS c, sum(abs(corr)) AS d FROM corr GROUP BY 1),
+cell AS (SELECT category_i AS i, category_j AS j, abs(corr) / sqrt(x.d * y.d) AS value FROM corr JOIN deg x ON x.c = category_i JOIN deg y ON y.c = category_j)
+SELECT count(DISTINCT i) AS n, {_r6('sum(CASE WHEN i = j THEN value ELSE 0 END)', 'trace')}, {_r6('sum(value * value)', 'frobenius')} FROM cell""",
     "z_transform": f"""WITH {_Z_ALL} SELECT "Category", {_r6('z', 'z')}, {_r6('log_rr', 'log_rr')}, CAST(flag AS INTEGER) AS flag, CAST(flag OR isinf(log_rr) AS INTEGER) AS flag2 FROM members""",
     "cluster_pairs": f"""WITH {CUBE}, k AS (SELECT DISTINCT CAST(list_position([{_strings(GENCODE_TERMS)}], gencode) AS INTEGER) AS cluster FROM raw) SELECT a.cluster AS src, b.cluster AS dst FROM k a JOIN k b ON a.cluster < b.cluster""",
 }
