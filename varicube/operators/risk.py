@@ -82,6 +82,10 @@ def _standardise(moments: np.ndarray):
     return n, means, centred, scale
 
 
+# Sweeps over the active coefficients; coordinate descent gets there in far fewer, so reaching it is an error.
+MOST_SWEEPS = 100_000
+
+
 def lasso_path(moments: np.ndarray, lambdas: np.ndarray, stop: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Intercepts and coefficients along ``lambdas`` by coordinate descent on the correlation matrix.
 
@@ -100,8 +104,8 @@ def lasso_path(moments: np.ndarray, lambdas: np.ndarray, stop: bool = False) ->
     path, explained = [], 0.0
     for penalty in lambdas:
         active = np.flatnonzero(beta != 0.0)
-        for _ in range(50):
-            for _ in range(200):
+        while True:
+            for _ in range(MOST_SWEEPS):
                 largest = 0.0
                 for j in active:
                     raw = residual[j] + beta[j]
@@ -113,6 +117,8 @@ def lasso_path(moments: np.ndarray, lambdas: np.ndarray, stop: bool = False) ->
                         largest = max(largest, abs(change))
                 if largest < tolerance:
                     break
+            else:
+                raise ArithmeticError(f"the lasso did not converge at penalty {penalty}")
             wrong = np.flatnonzero((beta == 0.0) & usable & (np.abs(residual) > penalty * (1.0 + 1e-6)))
             wrong = np.setdiff1d(wrong, active)
             if not len(wrong):

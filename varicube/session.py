@@ -71,7 +71,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     configured = context.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
-    if context.master.startswith("local["):
+    if context.master == "local" or context.master.startswith("local["):
         return _local_checkpoint_folder()
     raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
