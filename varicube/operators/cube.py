@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from varicube.domain import DIMENSIONS, CategoryDomain, is_redundant
 
 ARRAY_DIMENSIONS = dict(zip(("vt", "gs", "fs", "gc", "fa"), DIMENSIONS))
 TERM_ARRAYS = tuple(ARRAY_DIMENSIONS)
+DENSE_CELLS = 1 << 22
 
 
 def signatures(variants: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,15 +73,29 @@ def spell_out(frame: DataFrame, domain: CategoryDomain) -> DataFrame:
 def dense_rows(counts: DataFrame, codes: list[int], sample: str = "SAMPLE") -> DataFrame:
     """One row per sample with its counts in ``codes`` order, zeros included.
 
-    A row is bounded by the category list, which the domain fixes, not by the number of variants.
+    A row is bounded by the category list, which the domain fixes, not by the number of variants. Counts get the place
+    of their category by a join and are scattered into their row.
     """
-    by_code = F.map_from_entries(F.collect_list(F.struct("code", "n")))
-    wide = counts.groupBy(sample).agg(by_code.alias("_by_code"))
-    values = F.transform(
-        F.array(*[F.lit(c).cast("bigint") for c in codes]),
-        lambda code: F.coalesce(F.try_element_at("_by_code", code), F.lit(0).cast("bigint")),
-    )
-    return wide.select(sample, values.alias("counts"))
+    width = len(codes)
+    places = counts.sparkSession.createDataFrame(list(zip(codes, range(width))), "code bigint, place int")
+    cell = F.when(F.col("place").isNotNull(), F.struct("place", F.col("n").cast("bigint").alias("n")))
+    cells = counts.join(places, "code", "left").groupBy(sample).agg(F.collect_list(cell).alias("cells"))
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, DENSE_CELLS // max(1, width))
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                lists = part.column("cells")
+                flat = lists.flatten()
+                rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                dense = np.zeros((len(lists), width), dtype=np.int64)
+                dense[rows, flat.field("place").to_numpy()] = flat.field("n").to_numpy()
+                ends = pa.array(np.arange(0, (len(lists) + 1) * width, width) if width else np.zeros(len(lists) + 1), pa.int32())
+                yield pa.record_batch([part.column(sample), pa.ListArray.from_arrays(ends, dense.ravel())], [sample, "counts"])
+
+    kind = counts.schema[sample].dataType.simpleString()
+    return cells.mapInArrow(scatter, f"`{sample}` {kind}, counts array<bigint>")
 
 
 def drop_redundant(categories: DataFrame) -> DataFrame:

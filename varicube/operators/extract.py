@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from varicube.domain import DIMENSIONS, GENCODE_TERMS, CategoryDomain
 from varicube.functions import annotate
+from varicube.operators.cube import ARRAY_DIMENSIONS
 from varicube.operators.keys import draw_exact
 
 SLIM_COLUMNS = ("CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "SAMPLE")
@@ -24,13 +25,16 @@ def flag_columns(score_column: str, threshold: float) -> list[Column]:
 def by_category_set(variants: DataFrame, codes: DataFrame, domain: CategoryDomain) -> DataFrame:
     """Variants (with term arrays) of the given category codes, one row per variant and category.
 
-    Each variant lists its categories once and meets the set in one join; there is no scan per category.
+    Categories are listed for each distinct combination of term arrays and meet the set there; a variant only joins the
+    matches of its own combination, so no variant row is multiplied by categories that nobody asked for.
     """
-    rows = variants
-    for array, dimension in (("vt", "variant_type"), ("gs", "gene_set"), ("gc", "gencode"), ("fs", "functional_score"), ("fa", "functional_annotation")):
-        rows = rows.withColumn(dimension, F.explode_outer(array)).drop(array)
-    coded = rows.withColumn("code", domain.encode(*[F.col(d) for d in DIMENSIONS])).drop(*DIMENSIONS)
-    return coded.join(codes.select("code").distinct(), "code")
+    listed = variants.select(*ARRAY_DIMENSIONS).distinct()
+    for array, dimension in ARRAY_DIMENSIONS.items():
+        listed = listed.withColumn(dimension, F.explode_outer(array))
+    coded = listed.withColumn("code", domain.encode(*[F.col(d) for d in DIMENSIONS]))
+    matches = coded.join(codes.select("code").distinct(), "code").groupBy(*ARRAY_DIMENSIONS).agg(F.collect_list("code").alias("_codes"))
+    joined = variants.join(matches, list(ARRAY_DIMENSIONS))
+    return joined.withColumn("code", F.explode("_codes")).drop(*ARRAY_DIMENSIONS, "_codes")
 
 
 def with_extract_terms(variants: DataFrame, score_column: str, threshold: float) -> DataFrame:
