@@ -47,12 +47,9 @@ def planted(n, seed):
     return [c - (1 << 64) if c >> 63 else c for c in dict.fromkeys(codes)]
 
 
-@pytest.mark.parametrize("radius,segments,hot", [(2, 2, 16), (2, 2, 1), (3, 2, 1), (5, 3, 4)])
+@pytest.mark.parametrize("radius,segments,hot", [(2, 2, 16), (2, 2, 1), (3, 2, 1)])
 def test_links_by_brute_force(spark, radius, segments, hot):
-    if radius == 5:
-        codes = planted(15, 5)
-    else:
-        codes = planted(60, radius)
+    codes = planted(60, radius)
     frame = spark.createDataFrame([(0, c) for c in codes], "table int, code long")
     from varicube.llm.components import components
 
