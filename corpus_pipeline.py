@@ -15,10 +15,6 @@ from varicube.session import tune
 #: No SQL: dictionaries, fingerprints and BM25 retrieval have no SQL form. tests/llm has a brute-force version.
 ORACLE_SQL = None
 
-#: Fingerprints of the near-duplicate stage: six find about half of all pairs of 0.8 and more on five-word shingles, nine
-#: tenths and more of the nearest ones, and next to none below 0.8.
-FINGERPRINTS = 6
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on a bounded sample of the labelled ones, accepts."""
@@ -27,9 +23,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, found by any of the fingerprints."""
+    """One document of each group of near-duplicates: five-word shingles, similarity of about 0.8 and more."""
     tune(spark)
-    return simhash.first_of_each(docs, tables=FINGERPRINTS)
+    return simhash.first_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

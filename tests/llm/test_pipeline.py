@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 from test_decontamination import contained
 from test_native import brute_shards, targets
-from test_simhash import brute_components, brute_fingerprint
+from test_simhash import brute_fingerprint, near_components
 
 import corpus_pipeline
 from varicube.llm import quality
@@ -30,7 +30,7 @@ def test_run_by_brute_force(spark, documents):
     model = quality.fit(documents, spark.read.parquet(f"{SF}/labels.parquet"))
     texts = [(r["text"] or "").encode() for r in rows.values()]
     kept = {i: rows[i] for i, s in zip(rows, model.scorer()(texts)) if s >= 0.3}
-    roots = brute_components({i: [brute_fingerprint(r["text"], seed=42 + t) for t in range(corpus_pipeline.FINGERPRINTS)] for i, r in kept.items()}, 2)
+    roots = near_components({i: [brute_fingerprint(r["text"], 5, t) for t in range(32)] for i, r in kept.items()})
     kept = {i: r for i, r in kept.items() if roots[i] == i}
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     kept = {i: r for i, r in kept.items() if not any(contained(r["text"], t) >= 0.8 for t in items)}

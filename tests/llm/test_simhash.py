@@ -7,11 +7,21 @@ import xxhash
 from varicube.llm import simhash
 
 
-def brute_fingerprint(text, k=3, seed=42):
+def mixed(h, table):
+    """SplitMix64 in plain integers."""
+    if not table:
+        return h
+    h = (h + table * 0x9E3779B97F4A7C15) % 2**64
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+    return h ^ h >> 31
+
+
+def brute_fingerprint(text, k=3, table=0):
     words = (text or "").encode().lower().split()
     if not words:
         return 0
-    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), seed) for i in range(max(1, len(words) - k + 1))]
+    hashes = [mixed(xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42), table) for i in range(max(1, len(words) - k + 1))]
     value = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
     return value - (1 << 64) if value >> 63 else value
 
@@ -35,6 +45,22 @@ def brute_components(keyed, radius):
     return {k: keys[find(i)] for i, k in enumerate(keys)}
 
 
+def near_components(keyed, apart=0.16):
+    """keyed: {key: codes}; near are code 0 within 2 bits, or all codes within the share of bits and one segment equal."""
+    keys = sorted(keyed)
+    table = np.array([keyed[k] for k in keys], dtype=np.int64).view(np.uint64)
+    masks = np.array([(1 << 22) - 1, (1 << 22) - 1 << 22, (1 << 20) - 1 << 44], dtype=np.uint64)
+    root = np.arange(len(keys))
+    for i in range(len(keys)):
+        x = table ^ table[i]
+        bits = np.bitwise_count(x)
+        shared = ((x[:, :, None] & masks) == 0).any(axis=2) & (bits <= 16)
+        near = (bits[:, 0] <= 2) | ((bits.sum(axis=1) <= apart * 64 * table.shape[1]) & shared.any(axis=1))
+        joined = np.isin(root, root[near])
+        root[joined] = root[joined].min()
+    return {k: keys[root[i]] for i, k in enumerate(keys)}
+
+
 def planted(n, seed):
     rng = random.Random(seed)
     codes = []
@@ -62,7 +88,7 @@ def test_links_by_brute_force(spark, radius, segments, hot):
 def test_classes_by_brute_force(documents, edge, tables):
     for frame in (documents, edge.where("doc_id is not null"))[tables > 1 :]:
         rows = frame.select("doc_id", "text").collect()
-        codes = {r["doc_id"]: [brute_fingerprint(r["text"], seed=42 + t) for t in range(tables)] for r in rows}
+        codes = {r["doc_id"]: [brute_fingerprint(r["text"], table=t) for t in range(tables)] for r in rows}
         want = brute_components(codes, 2)
         got = simhash.classes(frame, tables=tables).collect()
         assert sorted((r["doc_id"], r["codes"], r["component"]) for r in got) == sorted((r["doc_id"], codes[r["doc_id"]], want[r["doc_id"]]) for r in rows)
@@ -76,8 +102,42 @@ def test_first_of_each(edge, empty):
     assert simhash.first_of_each(empty).count() == 0 and simhash.classes(empty).count() == 0
 
 
+def similarity(a, b, k=5):
+    a, b = ({tuple(t.split()[i : i + k]) for i in range(max(1, len(t.split()) - k + 1))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_by_similarity(spark, tmp_path):
+    """Copies with some words changed: those of 0.8 and more on five-word shingles are found, those below 0.7 stay."""
+    rng = random.Random(3)
+    rows, wanted = [], set()
+    for group in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(100, 400))]
+        rows.append((2 * group, " ".join(words)))
+        copy = list(words)
+        changes = max(1, len(words) * (group % 2 * 6 + 1) // 100)
+        for i in rng.sample(range(len(copy)), changes):
+            copy[i] = "other"
+        rows.append((2 * group + 1, " ".join(copy)))
+        found = similarity(rows[-1][1], rows[-2][1])
+        assert found >= 0.8 or found < 0.75
+        wanted |= {2 * group} if found >= 0.8 else {2 * group, 2 * group + 1}
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    got = {r["doc_id"] for r in simhash.first_of_each(spark.read.parquet(path)).collect()}
+    assert got == wanted and 60 < len(wanted) < 120
+
+
+def test_first_of_each_by_brute_force(documents):
+    rows = documents.select("doc_id", "text").collect()
+    roots = near_components({r["doc_id"]: [brute_fingerprint(r["text"], 5, t) for t in range(8)] for r in rows})
+    got = {r["doc_id"] for r in simhash.first_of_each(documents, tables=8).collect()}
+    assert got == {i for i, root in roots.items() if i == root}
+
+
 def test_long_text_in_pieces(monkeypatch):
     text = " ".join(str(i * i % 997) for i in range(5000))
     whole = simhash.fingerprint(text.encode())
     monkeypatch.setattr(simhash, "AT_ONCE", 100)
     assert simhash.fingerprint(text.encode()) == whole == [brute_fingerprint(text)]
+    assert simhash.fingerprint(text.encode(), 5, 2) == [brute_fingerprint(text, 5, t) for t in range(2)]

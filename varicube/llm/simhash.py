@@ -13,9 +13,14 @@ fingerprints leave the tables and meet elsewhere, exactly: two of them within ``
 that is at most half the radius from one and the rest of it from the other, so each files itself under every such
 code, and a code links its fingerprints to one of them. Only true links arise, a bounded number per fingerprint.
 
-One fingerprint finds few of the pairs that share, say, nine tenths of their shingles. ``tables`` fingerprints of different
-hash seeds find more, at a cost that grows with their number and not with the radius. Rows are numbered by scan, so
-``docs`` is stored data.
+Few bits tell only the nearest copies from the rest. ``first_of_each`` therefore takes a long fingerprint of ``tables``
+codes, whose complete distance estimates the similarity of the shingles (0.8 is about 15 % of the bits), in two steps.
+First the classes of code 0 are searched as above, which gathers large groups of near copies. Then every code is cut into
+segments, balls of radius zero: pairs of different groups that agree in any segment are candidates, and those whose
+complete distance is at most the share ``apart`` of all bits are linked. A group with several members has one entry per
+segment value, so its size does not multiply candidates; nothing is capped. Pairs within (number of segments - 1) bits
+are found for certain, farther ones with a probability that the README states. Rows are numbered by scan, so ``docs`` is
+stored data.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; a text shorter than a shingle
 is one shingle; null ids take part but never become a component's id unless it has no other; repeated rows share a
@@ -44,24 +49,52 @@ HASH_SEED = 42
 BITS = 64
 AT_ONCE = 1 << 16
 
+#: The long fingerprint: words of a shingle, codes, segments of a code, share of differing bits up to which texts are near,
+#: and the bits of one code that a pair worth the complete comparison differs in at most (near pairs: 10, unrelated ones: 21).
+NEAR_SHINGLE = 5
+NEAR_TABLES = 32
+NEAR_SEGMENTS = 3
+NEAR_APART = 0.16
+NEAR_CODE = 16
+
+#: Fixed values of the SplitMix64 generator, which turns one hash into one per code.
+STEP = 0x9E3779B97F4A7C15
+FIRST_FACTOR = 0xBF58476D1CE4E5B9
+SECOND_FACTOR = 0x94D049BB133111EB
+#: Rows whose set bits an unsigned byte can count.
+BYTE_ROWS = 255
+
+
+def spread_hashes(hashes: np.ndarray, tables: int) -> np.ndarray:
+    """One column of hashes per code: the hashes themselves, then their mixtures with multiples of a step."""
+    steps = np.arange(tables, dtype=np.uint64) * np.uint64(STEP)
+    mixed = hashes[:, None] + steps
+    mixed ^= mixed >> np.uint64(30)
+    mixed *= np.uint64(FIRST_FACTOR)
+    mixed ^= mixed >> np.uint64(27)
+    mixed *= np.uint64(SECOND_FACTOR)
+    mixed ^= mixed >> np.uint64(31)
+    mixed[:, 0] = hashes
+    return mixed
+
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, tables: int = 1) -> list[int]:
-    """Signed 64-bit fingerprints of UTF-8 text, one per hash seed; shingles count as often as they occur."""
+    """Signed 64-bit codes of UTF-8 text; shingles count as often as they occur."""
     words = text.lower().split()
     if not words:
         return [0] * tables
     n = max(1, len(words) - shingle + 1)
-    counts = np.zeros((tables, BITS), dtype=np.int64)
+    counts = np.zeros(tables * BITS, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
     for start in range(0, n, AT_ONCE):
         stop = min(n, start + AT_ONCE)
         columns = [words[start + k : stop + k] for k in range(min(shingle, len(words)))]
-        shingles = list(map(b" ".join, zip(*columns)))
-        for t in range(tables):
-            hashes = np.array([digest(s, HASH_SEED + t) for s in shingles], dtype="<u8")
-            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts[t] += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+        hashes = np.array([digest(b" ".join(s), HASH_SEED) for s in zip(*columns)], dtype="<u8")
+        for at in range(0, len(hashes), BYTE_ROWS):
+            block = spread_hashes(hashes[at : at + BYTE_ROWS], tables)
+            bits = np.unpackbits(block.view(np.uint8), axis=1, bitorder="little")
+            counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > n, bitorder="little").view("<i8").tolist()
 
 
 def fingerprints(docs: DataFrame, *keys: str, shingle: int = SHINGLE, tables: int = 1) -> DataFrame:
@@ -150,7 +183,7 @@ def _marked(docs: DataFrame, shingle: int, tables: int) -> DataFrame:
 def classes(docs: DataFrame, shingle: int = SHINGLE, tables: int = 1, **search) -> DataFrame:
     """One row per document: doc_id, ``codes`` and ``component``, the smallest id that is reachable.
 
-    With more ``tables``, each has its own hash seed, and documents that are near in any of them are linked.
+    With more ``tables``, documents that are near in any of their codes are linked.
     """
     marked = _marked(docs, shingle, tables)
     groups = checkpointed(_groups(marked, **search))
@@ -160,11 +193,50 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, tables: int = 1, **search)
     return marked.join(table, "codes").select("doc_id", "codes", "component")
 
 
-def first_of_each(docs: DataFrame, shingle: int = SHINGLE, tables: int = 1, **search) -> DataFrame:
-    """``docs`` with one row of each component, the one with the smallest id. ``docs`` is stored data."""
+def _entries(nodes: DataFrame, segments: int) -> DataFrame:
+    """(slot, root, node, code) for every segment of every code; a slot is the code's place, the segment and its value."""
+    width = -(-BITS // segments)
+    at = []
+    for s in range(segments):
+        value = F.shiftrightunsigned("code", s * width).bitwiseAND(F.lit((1 << min(width, BITS - s * width)) - 1).cast("bigint"))
+        at.append(F.shiftleft((F.col("table") * segments + s).cast("bigint"), width).bitwiseOR(value))
+    codes = nodes.select("root", "node", F.posexplode("codes").alias("table", "code"))
+    return codes.select(F.explode(F.array(*at)).alias("slot"), "root", "node", "code")
+
+
+def _near_groups(marked: DataFrame, segments: int, apart: float) -> DataFrame:
+    """Like ``_groups``, for long fingerprints: those of one code-0 group or at most the share ``apart`` of bits away."""
+    tuples = checkpointed(marked.groupBy("codes").agg(F.min("row").alias("node")))
+    tight = _groups(tuples.select(F.slice("codes", 1, 1).alias("codes"), F.col("node").alias("row")))
+    tight = tight.select(F.element_at("codes", 1).alias("code"), "root")
+    nodes = checkpointed(tuples.withColumn("code", F.element_at("codes", 1)).join(tight, "code").select("codes", "node", "root"))
+    several = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
+    lone = _entries(nodes.join(several, "root", "left_anti"), segments)
+    grouped = _entries(nodes.join(several, "root", "left_semi"), segments).groupBy("slot", "root").agg(
+        F.min(F.struct("node", "code")).alias("entry")
+    )
+    filed = lone.unionByName(grouped.select("slot", "root", "entry.*"))
+    first, second = (filed.select("slot", *(F.col(c).alias(f"{c}_{side}") for c in ("root", "node", "code"))) for side in "ab")
+    agree = F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= NEAR_CODE
+    pairs = first.join(second, "slot").where((F.col("root_a") < F.col("root_b")) & agree).select(
+        "root_a", "root_b", "node_a", "node_b"
+    ).distinct()
+    for side in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(f"node_{side}"), F.col("codes").alias(f"codes_{side}")), f"node_{side}")
+    differing = F.zip_with("codes_a", "codes_b", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    near = F.aggregate(differing, F.lit(0), lambda total, bits: total + bits) <= apart * BITS * F.size("codes_a")
+    joined = components(pairs.where(near), "root_a", "root_b").select(F.col("node").alias("member"), F.col("root").alias("merged"))
+    return nodes.join(joined, F.col("root") == F.col("member"), "left").select("codes", F.coalesce("merged", "root").alias("root"))
+
+
+def first_of_each(
+    docs: DataFrame, shingle: int = NEAR_SHINGLE, tables: int = NEAR_TABLES, segments: int = NEAR_SEGMENTS, apart: float = NEAR_APART
+) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, the one with the smallest id. ``docs`` is stored data."""
     row, = fresh(docs, "row")
     marked = _marked(docs, shingle, tables)
+    groups = _near_groups(marked, segments, apart)
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
-    firsts = marked.groupBy("codes").agg(F.min(place).alias("first")).join(_groups(marked, **search), "codes")
+    firsts = marked.groupBy("codes").agg(F.min(place).alias("first")).join(groups, "codes")
     kept = firsts.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return docs.withColumn(row, F.monotonically_increasing_id()).join(checkpointed(kept), row, "left_semi").drop(row)
