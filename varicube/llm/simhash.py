@@ -15,8 +15,9 @@ code, and a code links its fingerprints to one of them. Only true links arise, a
 
 Few bits tell only the nearest copies from the rest. ``first_of_each`` therefore takes a long fingerprint of ``tables``
 codes, whose complete distance estimates the similarity of the shingles (0.8 is about 15 % of the bits), in two steps.
-First the classes of code 0 are searched as above, which gathers large groups of near copies. Then every code is cut into
-segments, balls of radius zero: pairs of different groups that agree in any segment are candidates, and those whose
+First the classes of code 0 are searched as above, and every fingerprint is compared with the nearest of the first entries
+under its segment values in some codes; both gather large groups of near copies in linear work. Then every code is cut
+into segments, balls of radius zero: pairs of different groups that agree in any segment are candidates, and those whose
 complete distance is at most the share ``apart`` of all bits are linked. A group with several members has one entry per
 segment value, so its size does not multiply candidates; nothing is capped. Pairs within (number of segments - 1) bits
 are found for certain, farther ones with a probability that the README states. Rows are numbered by scan, so ``docs`` is
@@ -56,6 +57,8 @@ NEAR_TABLES = 32
 NEAR_SEGMENTS = 3
 NEAR_APART = 0.16
 NEAR_CODE = 16
+#: Codes whose slots gather large groups before pairs are formed.
+STAR_CODES = 8
 
 #: Fixed values of the SplitMix64 generator, which turns one hash into one per code.
 STEP = 0x9E3779B97F4A7C15
@@ -204,29 +207,49 @@ def _entries(nodes: DataFrame, segments: int) -> DataFrame:
     return codes.select(F.explode(F.array(*at)).alias("slot"), "root", "node", "code")
 
 
-def _near_groups(marked: DataFrame, segments: int, apart: float) -> DataFrame:
-    """Like ``_groups``, for long fingerprints: those of one code-0 group or at most the share ``apart`` of bits away."""
-    tuples = checkpointed(marked.groupBy("codes").agg(F.min("row").alias("node")))
-    tight = _groups(tuples.select(F.slice("codes", 1, 1).alias("codes"), F.col("node").alias("row")))
-    tight = tight.select(F.element_at("codes", 1).alias("code"), "root")
-    nodes = checkpointed(tuples.withColumn("code", F.element_at("codes", 1)).join(tight, "code").select("codes", "node", "root"))
+def _filed(nodes: DataFrame, segments: int) -> DataFrame:
+    """Entries of ``nodes`` (codes, node, root); a root with several nodes has one entry in a slot."""
     several = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
     lone = _entries(nodes.join(several, "root", "left_anti"), segments)
     grouped = _entries(nodes.join(several, "root", "left_semi"), segments).groupBy("slot", "root").agg(
         F.min(F.struct("node", "code")).alias("entry")
     )
-    filed = lone.unionByName(grouped.select("slot", "root", "entry.*"))
-    first, second = (filed.select("slot", *(F.col(c).alias(f"{c}_{side}") for c in ("root", "node", "code"))) for side in "ab")
-    agree = F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= NEAR_CODE
-    pairs = first.join(second, "slot").where((F.col("root_a") < F.col("root_b")) & agree).select(
-        "root_a", "root_b", "node_a", "node_b"
-    ).distinct()
+    return lone.unionByName(grouped.select("slot", "root", "entry.*"))
+
+
+def _side(filed: DataFrame, side: str) -> DataFrame:
+    return filed.select("slot", *(F.col(c).alias(f"{c}_{side}") for c in ("root", "node", "code")))
+
+
+def _merged(nodes: DataFrame, pairs: DataFrame, apart: float) -> DataFrame:
+    """``nodes`` with the roots joined whose ``pairs`` (root_a, root_b, node_a, node_b) are near on all bits."""
     for side in "ab":
         pairs = pairs.join(nodes.select(F.col("node").alias(f"node_{side}"), F.col("codes").alias(f"codes_{side}")), f"node_{side}")
     differing = F.zip_with("codes_a", "codes_b", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
     near = F.aggregate(differing, F.lit(0), lambda total, bits: total + bits) <= apart * BITS * F.size("codes_a")
     joined = components(pairs.where(near), "root_a", "root_b").select(F.col("node").alias("member"), F.col("root").alias("merged"))
-    return nodes.join(joined, F.col("root") == F.col("member"), "left").select("codes", F.coalesce("merged", "root").alias("root"))
+    return nodes.join(joined, F.col("root") == F.col("member"), "left").select("codes", "node", F.coalesce("merged", "root").alias("root"))
+
+
+def _near_groups(marked: DataFrame, segments: int, apart: float) -> DataFrame:
+    """Like ``_groups``, for long fingerprints: those of one code-0 group or at most the share ``apart`` of bits away."""
+    tuples = checkpointed(marked.groupBy("codes").agg(F.min("row").alias("node")))
+    tight = _groups(tuples.select(F.slice("codes", 1, 1).alias("codes"), F.col("node").alias("row")))
+    tight = tight.select(F.element_at("codes", 1).alias("code"), "root")
+    nodes = checkpointed(tuples.withColumn("code", F.element_at("codes", 1)).join(tight, "code").select("codes", "node", "root"))
+    apart_in_code = F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b")))
+
+    # One candidate each: the nearest of the first entries of its slots. A large group falls into a few stars.
+    filed = _filed(nodes.withColumn("codes", F.slice("codes", 1, STAR_CODES)), segments)
+    centres = filed.groupBy("slot").agg(F.min(F.struct("node", "root", "code")).alias("centre"), F.count(F.lit(1)).alias("n"))
+    centres = _side(centres.where("n > 1").select("slot", "centre.*"), "b")
+    stars = _side(filed, "a").join(centres, "slot").where((F.col("root_a") != F.col("root_b")) & (apart_in_code <= NEAR_CODE))
+    nearest = stars.groupBy("node_a", "root_a").agg(F.min(F.struct(apart_in_code.alias("bits"), "node_b", "root_b")).alias("centre"))
+    nodes = checkpointed(_merged(nodes, nearest.select("node_a", "root_a", "centre.node_b", "centre.root_b"), apart))
+
+    filed = _filed(nodes, segments)
+    pairs = _side(filed, "a").join(_side(filed, "b"), "slot").where((F.col("root_a") < F.col("root_b")) & (apart_in_code <= NEAR_CODE))
+    return _merged(nodes, pairs.select("root_a", "root_b", "node_a", "node_b").distinct(), apart).select("codes", "root")
 
 
 def first_of_each(
