@@ -135,6 +135,23 @@ def test_first_of_each_by_brute_force(documents):
     assert got == {i for i, root in roots.items() if i == root}
 
 
+def near_copies(n, tables, rng):
+    """Codes of variants 11 % of the bits from a base, about 20 % from one another; the base comes last."""
+    bits = tables * 64
+    base = rng.getrandbits(bits)
+    made = [base ^ sum(1 << b for b in rng.sample(range(bits), bits * 11 // 100)) for _ in range(n)] + [base]
+    return [np.frombuffer(code.to_bytes(bits // 8, "little"), dtype="<i8").tolist() for code in made]
+
+
+def test_members_behind_a_stand_in(spark):
+    """Groups whose base is read after its variants: every link of the whole-distance brute force is found."""
+    rng = random.Random(5)
+    codes = [c for n in (1, 2, 3, 40, 300) for c in near_copies(n, 8, rng)]
+    marked = spark.createDataFrame(list(enumerate(codes)), "row long, codes array<long>")
+    got = {tuple(r["codes"]): r["root"] for r in simhash._near_groups(marked, 3, 0.16).collect()}
+    assert {i: got[tuple(c)] for i, c in enumerate(codes)} == near_components(dict(enumerate(codes)))
+
+
 def test_long_text_in_pieces(monkeypatch):
     text = " ".join(str(i * i % 997) for i in range(5000))
     whole = simhash.fingerprint(text.encode())

@@ -14,12 +14,15 @@ that is at most half the radius from one and the rest of it from the other, so e
 code, and a code links its fingerprints to one of them. Only true links arise, a bounded number per fingerprint.
 
 Few bits tell only the nearest copies from the rest. ``first_of_each`` therefore takes a long fingerprint of ``tables``
-codes, whose complete distance estimates the similarity of the shingles (0.8 is about 15 % of the bits), in two steps.
-First the classes of code 0 are searched as above, and every fingerprint is compared with the nearest of the first entries
-under its segment values in some codes; both gather large groups of near copies in linear work. Then every code is cut
-into segments, balls of radius zero: pairs of different groups that agree in any segment are candidates, and those whose
-complete distance is at most the share ``apart`` of all bits are linked. A group with several members has one entry per
-segment value, so its size does not multiply candidates; nothing is capped. Pairs within (number of segments - 1) bits
+codes, whose complete distance estimates the similarity of the shingles (0.8 is about 15 % of the bits), in four steps.
+First the classes of code 0 are searched as above. Then every fingerprint is compared with the centres of its slots (its
+segment values in some codes), in rounds: a centre is an entry by chance at first, then the one with most links, which is
+the base of a group of near copies; both steps gather large groups in linear work. Third, every code is cut into
+segments, balls of radius zero: pairs of different groups that agree in any segment are candidates, and those whose
+complete distance is at most the share ``apart`` of all bits are linked; a group with several members has one entry per
+segment value here. Last, all members of such groups meet the other groups' members in each slot, so a pair that the
+entry for a group does not show is found too; nothing is capped. Pairs of one group are never formed then, those of
+groups that stay apart are. Pairs within (number of segments - 1) bits
 are found for certain, farther ones with a probability that the README states. Rows are numbered by scan, so ``docs`` is
 stored data.
 
@@ -57,8 +60,9 @@ NEAR_TABLES = 32
 NEAR_SEGMENTS = 3
 NEAR_APART = 0.16
 NEAR_CODE = 16
-#: Codes whose slots gather large groups before pairs are formed.
+#: Codes whose slots gather large groups before pairs are formed, and the rounds of that.
 STAR_CODES = 8
+STAR_ROUNDS = 2
 
 #: Fixed values of the SplitMix64 generator, which turns one hash into one per code.
 STEP = 0x9E3779B97F4A7C15
@@ -207,49 +211,89 @@ def _entries(nodes: DataFrame, segments: int) -> DataFrame:
     return codes.select(F.explode(F.array(*at)).alias("slot"), "root", "node", "code")
 
 
-def _filed(nodes: DataFrame, segments: int) -> DataFrame:
-    """Entries of ``nodes`` (codes, node, root); a root with several nodes has one entry in a slot."""
+def _filed(nodes: DataFrame, degrees: DataFrame, segments: int) -> DataFrame:
+    """Entries of ``nodes`` (codes, node, root); a root with several nodes has one entry in a slot, that with most links."""
     several = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
     lone = _entries(nodes.join(several, "root", "left_anti"), segments)
-    grouped = _entries(nodes.join(several, "root", "left_semi"), segments).groupBy("slot", "root").agg(
-        F.min(F.struct("node", "code")).alias("entry")
-    )
-    return lone.unionByName(grouped.select("slot", "root", "entry.*"))
+    members = _entries(nodes.join(several, "root", "left_semi"), segments).join(degrees, "node", "left")
+    linked = F.coalesce("degree", F.lit(0).cast("bigint")).alias("degree")
+    grouped = members.groupBy("slot", "root").agg(F.max(F.struct(linked, "node", "code")).alias("entry"))
+    return lone.unionByName(grouped.select("slot", "root", "entry.node", "entry.code"))
 
 
 def _side(filed: DataFrame, side: str) -> DataFrame:
     return filed.select("slot", *(F.col(c).alias(f"{c}_{side}") for c in ("root", "node", "code")))
 
 
-def _merged(nodes: DataFrame, pairs: DataFrame, apart: float) -> DataFrame:
-    """``nodes`` with the roots joined whose ``pairs`` (root_a, root_b, node_a, node_b) are near on all bits."""
+def _near(nodes: DataFrame, pairs: DataFrame, apart: float) -> DataFrame:
+    """The ``pairs`` (root_a, root_b, node_a, node_b) that are near on all bits."""
     for side in "ab":
         pairs = pairs.join(nodes.select(F.col("node").alias(f"node_{side}"), F.col("codes").alias(f"codes_{side}")), f"node_{side}")
     differing = F.zip_with("codes_a", "codes_b", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
     near = F.aggregate(differing, F.lit(0), lambda total, bits: total + bits) <= apart * BITS * F.size("codes_a")
-    joined = components(pairs.where(near), "root_a", "root_b").select(F.col("node").alias("member"), F.col("root").alias("merged"))
+    return pairs.where(near).select("root_a", "root_b", "node_a", "node_b")
+
+
+def _merged(nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """``nodes`` with the roots joined that ``near`` (root_a, root_b) links."""
+    joined = components(near, "root_a", "root_b").select(F.col("node").alias("member"), F.col("root").alias("merged"))
     return nodes.join(joined, F.col("root") == F.col("member"), "left").select("codes", "node", F.coalesce("merged", "root").alias("root"))
 
 
+def _close_pairs(a: DataFrame, b: DataFrame, different: Column) -> DataFrame:
+    """Distinct pairs of the entries ``a`` and ``b`` (sides a and b) that share a slot with codes that are not too far apart."""
+    apart_in_code = F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b")))
+    met = a.join(b, "slot").where(different & (apart_in_code <= NEAR_CODE))
+    return met.select("root_a", "root_b", "node_a", "node_b").distinct()
+
+
+def _gathered(nodes: DataFrame, segments: int, apart: float) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` after rounds in which every entry meets the centre of its slot, an entry by chance, then the one with most
+    links; and (node, degree), the links found."""
+    degrees = None
+    for _ in range(STAR_ROUNDS):
+        entries = _entries(nodes.withColumn("codes", F.slice("codes", 1, STAR_CODES)), segments)
+        ranked = entries.withColumn("rank", F.xxhash64("slot", "node"))
+        if degrees is not None:
+            ranked = ranked.join(degrees, "node", "left").withColumn("rank", F.coalesce("degree", F.lit(0).cast("bigint")))
+        best = F.max(F.struct("rank", "node", "root", "code")).alias("centre")
+        centres = ranked.groupBy("slot").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1").select("slot", "centre.*")
+        near = checkpointed(_near(nodes, _close_pairs(_side(entries, "a"), _side(centres, "b"), F.col("root_a") != F.col("root_b")), apart))
+        ends = near.select(F.col("node_a").alias("node")).union(near.select("node_b")).withColumn("degree", F.lit(1).cast("bigint"))
+        degrees = ends if degrees is None else ends.union(degrees)
+        degrees = checkpointed(degrees.groupBy("node").agg(F.sum("degree").alias("degree")))
+        nodes = checkpointed(_merged(nodes, near))
+    return nodes, degrees
+
+
+def _members_pairs(nodes: DataFrame, segments: int) -> DataFrame:
+    """Candidates of every member of a root with several nodes: with lone nodes, and with the members of other such roots."""
+    several = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
+    members = checkpointed(_entries(nodes.join(several, "root", "left_semi"), segments))
+    lone = _entries(nodes.join(several, "root", "left_anti"), segments)
+    with_lone = _close_pairs(_side(members, "a"), _side(lone, "b"), F.lit(True))
+    # The roots of a slot are paired before their members are, so no two members of one root are ever compared.
+    heads = members.select("slot", "root").distinct()
+    first, second = (heads.select("slot", F.col("root").alias(f"root_{side}")) for side in "ab")
+    met = first.join(second, "slot").where("root_a < root_b").join(_side(members, "a"), ["slot", "root_a"])
+    across = met.join(_side(members, "b"), ["slot", "root_b"])
+    close = F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= NEAR_CODE
+    return with_lone.union(across.where(close).select("root_a", "root_b", "node_a", "node_b").distinct())
+
+
 def _near_groups(marked: DataFrame, segments: int, apart: float) -> DataFrame:
     """Like ``_groups``, for long fingerprints: those of one code-0 group or at most the share ``apart`` of bits away."""
     tuples = checkpointed(marked.groupBy("codes").agg(F.min("row").alias("node")))
     tight = _groups(tuples.select(F.slice("codes", 1, 1).alias("codes"), F.col("node").alias("row")))
     tight = tight.select(F.element_at("codes", 1).alias("code"), "root")
     nodes = checkpointed(tuples.withColumn("code", F.element_at("codes", 1)).join(tight, "code").select("codes", "node", "root"))
-    apart_in_code = F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b")))
 
-    # One candidate each: the nearest of the first entries of its slots. A large group falls into a few stars.
-    filed = _filed(nodes.withColumn("codes", F.slice("codes", 1, STAR_CODES)), segments)
-    centres = filed.groupBy("slot").agg(F.min(F.struct("node", "root", "code")).alias("centre"), F.count(F.lit(1)).alias("n"))
-    centres = _side(centres.where("n > 1").select("slot", "centre.*"), "b")
-    stars = _side(filed, "a").join(centres, "slot").where((F.col("root_a") != F.col("root_b")) & (apart_in_code <= NEAR_CODE))
-    nearest = stars.groupBy("node_a", "root_a").agg(F.min(F.struct(apart_in_code.alias("bits"), "node_b", "root_b")).alias("centre"))
-    nodes = checkpointed(_merged(nodes, nearest.select("node_a", "root_a", "centre.node_b", "centre.root_b"), apart))
-
-    filed = _filed(nodes, segments)
-    pairs = _side(filed, "a").join(_side(filed, "b"), "slot").where((F.col("root_a") < F.col("root_b")) & (apart_in_code <= NEAR_CODE))
-    return _merged(nodes, pairs.select("root_a", "root_b", "node_a", "node_b").distinct(), apart).select("codes", "root")
+    # Large groups first, so that few pairs are left between groups.
+    nodes, degrees = _gathered(nodes, segments, apart)
+    filed = _filed(nodes, degrees, segments)
+    pairs = _close_pairs(_side(filed, "a"), _side(filed, "b"), F.col("root_a") < F.col("root_b"))
+    nodes = checkpointed(_merged(nodes, _near(nodes, pairs, apart)))
+    return _merged(nodes, _near(nodes, _members_pairs(nodes, segments), apart)).select("codes", "root")
 
 
 def first_of_each(
