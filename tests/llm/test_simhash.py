@@ -152,6 +152,23 @@ def test_members_behind_a_stand_in(spark):
     assert {i: got[tuple(c)] for i, c in enumerate(codes)} == near_components(dict(enumerate(codes)))
 
 
+def test_share_of_near_pairs_found(spark):
+    """Of all pairs 15 % of the bits apart, which is within the limit, the segment tables miss some by chance."""
+    rng = random.Random(7)
+    codes = []
+    for _ in range(200):
+        base = rng.getrandbits(2048)
+        other = base ^ sum(1 << b for b in rng.sample(range(2048), 2048 * 15 // 100))
+        codes += [np.frombuffer(code.to_bytes(256, "little"), dtype="<i8").tolist() for code in (base, other)]
+    table = np.array(codes, dtype=np.int64).view(np.uint64)
+    near = [(i, j) for i in range(400) for j in np.flatnonzero(np.bitwise_count(table[i + 1 :] ^ table[i]).sum(axis=1) <= 0.16 * 2048) + i + 1]
+    assert near == [(i, i + 1) for i in range(0, 400, 2)]
+    marked = spark.createDataFrame(list(enumerate(codes)), "row long, codes array<long>")
+    roots = {tuple(r["codes"]): r["root"] for r in simhash._near_groups(marked, 3, 0.16).collect()}
+    found = sum(roots[tuple(codes[i])] == roots[tuple(codes[j])] for i, j in near)
+    assert 174 <= found < 200 and len(set(roots.values())) == 400 - found
+
+
 def test_long_text_in_pieces(monkeypatch):
     text = " ".join(str(i * i % 997) for i in range(5000))
     whole = simhash.fingerprint(text.encode())
