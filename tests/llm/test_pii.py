@@ -67,3 +67,9 @@ def test_long_runs_are_linear():
     for run in ("1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "+1" + " " * 200_000, "a@" * 100_000, "iban " * 40_000):
         pii.base_spans(run)
         pii.anchored(run, pii.automaton())
+
+
+def test_very_long_zeros():
+    zeros = "0" * 5000
+    assert pii.base_spans(f"{zeros}.{zeros}1.2.3 x")["ip"] == [(0, 10_006)]
+    assert pii.base_spans(f"{zeros}.1.2.{zeros}256")["ip"] == []

@@ -1,8 +1,9 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton finds anchors: at-signs, dots between digits and plus signs are found by their own scans below,
-schemes ("https://", "mailto:") and identifier cues ("iban", "account", "passport") by the automaton. From an anchor, small
-deterministic parsers expand to the borders of the datum and validate it.
+An Aho-Corasick automaton finds the anchors of the added kinds: schemes ("https://", "mailto:") and identifier cues ("iban",
+"account", "passport"). From an anchor, small deterministic parsers expand to the borders of the datum and validate it.
+Base kinds do not go through the automaton: emails expand from at-signs that a search finds; ip, card and phone are plain
+regular expressions over the whole text, whose matches are then validated.
 
 Base kinds, leftmost and without overlap inside a kind: email (around an at-sign), ip (four numbers up to 255), card (12 to
 19 digits that pass Luhn), phone (a plus sign and 9 to 15 digits). Added by the method: ``link``, a link that carries a
@@ -78,7 +79,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 
 def ips(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _ip.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    return [m.span() for m in _ip.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
 
 
 def cards(text: str) -> list[tuple[int, int]]:
