@@ -26,7 +26,7 @@ def crc(ids):
 
 PARTS = st.sampled_from(
     ["a", "It's", "don't", "ß", "é", "é", "́", "ΑΣ", "σ.", "İ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", " ", "\xa0", "\x00",
-     "\x01", " \x01 ", "<|endoftext|>", "<|startoftext|> x", "123", "4.5", "?!", ".", ",'s", "日本", "\U0001f600", "가", "ﬁ", "word"]
+     "\x01", " \x01 ", "<|endoftext|>", "<|startoftext|> x", "123", "4.5", "?!", ".", ",'s", "日本", "\U0001f600", "가", "ﬁ", "word", "Straße.", "Été!", "ŉ", "İx", "ǅ:", "x2;"]
 )
 
 
@@ -124,8 +124,7 @@ def test_unfit_tokenizer_is_refused():
         def encode_batch_fast(self, texts, add_special_tokens):
             return [self.encode(t, False) for t in texts]
 
-    encoder = token_orc.Encoder.__new__(token_orc.Encoder)
-    encoder.tokenizer, encoder.end, encoder.word_wise, encoder.cache = Two(), np.uint32(2), True, {"": b""}
-    encoder.mark = encoder._ids("\x01")
+    encoder = token_orc.Encoder(DEFINITION)
+    encoder.tokenizer, encoder.mark = Two(), np.array([1, 2], dtype="<u4")
     with pytest.raises(ValueError, match="mark"):
-        encoder.encode(pa.array(["a b"]))
+        encoder.encode(pa.array(["1a 2b"]))

@@ -9,6 +9,8 @@ turn places in a file into places in the corpus.
 Words are encoded, not texts: the tokenizer drops white space and no token of it crosses white space, so the ids of a text
 are those of its words (runs without space or line feed) in order. A task encodes a batch's distinct words once and keeps a
 bounded cache. The mark between words of such a batch is a control character; a word that holds it is encoded alone.
+Words of Latin letters are one pre-token of this tokenizer, so they go to its model directly; a sentence mark after a
+letter or digit is a pre-token of its own and is cut off first.
 ``word_wise=False`` is for tokenizers without that property: it encodes each text by one call.
 
 Defined cases: a null text is empty and gives only the end id; rows without an id come first; rows with the same id
@@ -20,6 +22,7 @@ any length is one row; memory in a task grows with its longest text. Invalid UTF
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -36,9 +39,11 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 ROW_STRIDE = 1_000
 STRIPE_BYTES = 16 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 CACHE_WORDS = 1 << 20
 LONG_WORD = 64
+WORDS_A_CALL = 5_000
+SENTENCE_MARKS = ".,;:!?"
 MARK = "\x01"
 SCHEMA = "doc_id long, row long, first long, n_tokens long, ids array<int>"
 
@@ -53,24 +58,48 @@ class Encoder:
         self.tokenizer, self.end, self.word_wise = Tokenizer.from_str(definition), np.uint32(end_id), word_wise
         self.cache: dict[str, bytes] = {"": b""}
         self.mark = self._ids(MARK) if word_wise else None
+        self.marks = {m: self._ids(m).tobytes() for m in SENTENCE_MARKS} if word_wise else {}
+        self.letters = self._latin() if word_wise else {}
+
+    def _latin(self) -> dict[int, str]:
+        """Latin letters (NFC leaves them alone) as the model sees them, taken from the tokenizer's own pre-tokenizer."""
+        letters = [c for c in map(chr, range(0x250)) if c.isalpha() and c.lower() == c]
+        seen = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c) for c in letters}
+        table = {c: pieces[0][0] for c, pieces in seen.items() if len(pieces) == 1}
+        every = "".join(map(chr, table))
+        whole = self.tokenizer.pre_tokenizer.pre_tokenize_str(every)
+        return table if len(whole) == 1 and whole[0][0] == every.translate(table) else {}
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a word of Latin letters, perhaps with a sentence mark behind it; None for other words."""
+        if len(word) > 1 and word[-1] in self.marks and word[-2].isalnum():
+            rest = word[:-1]
+            known = self.cache.get(rest) or self._word(rest) or self._ids(rest).tobytes()
+            return known + self.marks[word[-1]]
+        lowered = word.lower()
+        if not lowered.isalpha() or max(lowered) >= "\u0250" or len(word) > LONG_WORD or not self.letters:
+            return None
+        found = [token.id for token in self.tokenizer.model.tokenize(lowered.translate(self.letters))]
+        return struct.pack(f"<{len(found)}I", *found)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words that the cache lacks, as bytes."""
-        plain = [w for w in words if MARK not in w]
-        known = {w: self._ids(w).tobytes() for w in words if MARK in w}
-        if plain:
+        known = {w: ids for w in words if (ids := self._ids(w).tobytes() if MARK in w else self._word(w)) is not None}
+        others = [w for w in words if w not in known]
+        for at in range(0, len(others), WORDS_A_CALL):
+            plain = others[at : at + WORDS_A_CALL]
             joined = f" {MARK} ".join(plain)
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids)).tolist()
             if len(self.mark) != 1 or len(ends) != len(plain):
                 raise ValueError("the mark between words is no token of its own in this tokenizer")
-            raw, at = ids.tobytes(), 0
+            raw, begin = ids.tobytes(), 0
             for word, end in zip(plain, ends):
-                known[word] = raw[4 * at : 4 * end]
-                at = end + 1
+                known[word] = raw[4 * begin : 4 * end]
+                begin = end + 1
         return known
 
     def _lookup(self, words: list[str]) -> list[bytes]:
@@ -78,10 +107,9 @@ class Encoder:
         missing = [w for w, ids in zip(words, found) if ids is None]
         if not missing:
             return found
-        if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache = {"": b""}
         new = self._learn(missing)
-        self.cache.update((w, ids) for w, ids in new.items() if len(w) <= LONG_WORD)
+        if len(self.cache) < CACHE_WORDS:  # frequent words come early
+            self.cache.update((w, ids) for w, ids in new.items() if len(w) <= LONG_WORD)
         return [new[w] if ids is None else ids for w, ids in zip(words, found)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
