@@ -101,7 +101,14 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     extracted = tables.read_table(spark, places["extract"] + "/extracted_variants")
     assert {"CLASS", "ProteinCoding", "Risk", "score", "enhancer"} <= set(extracted.columns) and extracted.count() == 900
     run("risk_score --counts {cat} --samples {samples} --regressions 2 --permutations 2 --rare-below 8 --out {risk}")
-    assert tables.read_table(spark, places["risk"] + "/lasso_results").count() >= 1
+    results = tables.read_table(spark, places["risk"] + "/lasso_results")
+    assert sorted(r["seed"] for r in results.collect()) == ["42", "52", "average"]
+    null = tables.read_table(spark, places["risk"] + "/lasso_null_models")
+    assert sorted(r["permutation"] for r in null.collect()) == ["42", "43", "average"] and "std" in null.columns
+    run("risk_score --counts {cat} --samples {samples} --regressions 2 --permutations 0 --rare-below 8 --domains all,Noncoding --without-annotation --dimensions gene_set --out {risk}")
+    results = tables.read_table(spark, places["risk"] + "/lasso_results").where("seed = 'average'")
+    assert {(r["domain"], r["mode"], r["dimension"]) for r in results.collect()} == {(d, "without", "gene_set") for d in ("all", "noncoding")}
+    assert {r["term"] for r in results.collect()} == {"Risk", "ProteinCoding", "lincRNA"}
     try:
         run("dawn --counts {cat} --vectors {eff}/eig_vecs --matrix {corr}/correlation_matrix/domain=all --permutation {perm}/burden_test --category-counts {binom}/category_counts --k 4 --out {net}")
     except ValueError as error:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 from pathlib import Path
 
+from varicube.operators.grid import ANNOTATIONS, EACH, WITHOUT
 from varicube.plans import steps
 from varicube.session import build_session
 from varicube.sources import tables
@@ -52,6 +53,10 @@ def _parser() -> argparse.ArgumentParser:
             p.add_argument("--regressions", type=int, default=10)
             p.add_argument("--folds", type=int, default=5)
             p.add_argument("--permutations", type=int, default=1000)
+            p.add_argument("--domains", default="all", help="all, run_all or a comma-separated list")
+            p.add_argument("--each-annotation", action="store_true", help="a model per annotation term")
+            p.add_argument("--without-annotation", action="store_true", help="a model without each annotation term")
+            p.add_argument("--dimensions", nargs="+", default=list(ANNOTATIONS), choices=list(ANNOTATIONS))
             p.add_argument("--seed", type=int, default=42)
     p = step("correlation", "counts")
     p.add_argument("--level", required=True, choices=("sample", "variant"))
@@ -102,7 +107,8 @@ def main(argv: list[str] | None = None) -> None:
     elif a.step == "risk_score":
         steps.risk_score(
             spark, a.counts, a.samples, a.out, a.factors, a.carriers, a.rare_below, a.train_fraction,
-            a.regressions, a.folds, a.permutations, a.seed,
+            a.regressions, a.folds, a.permutations, a.seed, a.domains,
+            [EACH] * a.each_annotation + [WITHOUT] * a.without_annotation, a.dimensions,
         )
     elif a.step == "correlation":
         inputs = (a.vcf, a.genes, a.scores, a.score_column, a.threshold)

@@ -12,7 +12,7 @@ from varicube.domain import DIMENSIONS, REDUNDANT_GENESET_GENCODE, REDUNDANT_TYP
 from varicube.functions import annotate, stats
 from varicube.functions.scalars import divide, half_even
 from varicube.operators import (
-    burden, cube, extract, gram, intervals, keys, netfit, network, ordered, permutation, risk, shift, spectrum,
+    burden, cube, extract, gram, grid, intervals, keys, netfit, network, ordered, permutation, risk, shift, spectrum,
 )
 from varicube.plans import model
 from varicube.plans import star_tables as star
@@ -727,12 +727,62 @@ def lasso_models(spark, sf):
     codes = sorted(r[0] for r in rare.collect())  # bounded by the category domain
     n = size.cases + size.controls
     fitted = risk.fit_models(cells, risk.model_labels(people, range(42, 72, 10), 5, 0.7, False), codes, 5, 30, n, 3)
-    permuted = risk.fit_models(cells, risk.model_labels(people, range(42, 47), 5, 0.7, True), codes, 5, 30, n, 5)
+    # A permutation may make any category rare that some choice of cases leaves to few controls.
+    every = counted.select("SAMPLE", "code", F.col("n").alias("value"))
+    open_codes = cut_lineage(grid.candidates(every, size.cases, 30))
+    permuted = risk.fit_models(
+        every.join(open_codes, "code", "left_semi"), risk.model_labels(people, range(42, 47), 5, 0.7, True),
+        sorted(r[0] for r in open_codes.collect()), 5, 30, n, 5,
+    )
     fitted = cut_lineage(fitted)
     chosen = risk.selected_categories(fitted, 3).count()
     return risk.score_table(fitted, permuted, chosen)
 
 
+GRID_DOMAINS = ["all", "coding", "noncoding"]
+
+
+def _grid_inputs(spark, sf):
+    inputs = model.Inputs(spark, sf)
+    people = cut_lineage(extract.split_samples(inputs.people, 0.7, 42))
+    # Rare: fewer counts in the controls than a tenth of their number.
+    return inputs.counts.select("SAMPLE", "code", F.col("n").alias("value")), people, inputs.size, inputs.size.controls // 10
+
+
+@query
+def lasso_annotation_grid(spark, sf):
+    """Risk score of every domain with each annotation term alone and without it, with permutation P."""
+    cells, people, size, rare_below = _grid_inputs(spark, sf)
+    models = grid.grid_models(DOMAIN, GRID_DOMAINS, list(grid.ANNOTATIONS), [grid.EACH, grid.WITHOUT])
+
+    def fits(seeds, permute):
+        labels = risk.model_labels(people, seeds, 5, 0.7, permute)
+        return cut_lineage(grid.fit_grid(cells, labels, DOMAIN, models, 5, rare_below, size.cases))
+
+    return grid.grid_scores(fits(range(42, 62, 10), False), fits(range(42, 45), True), grid.model_table(spark, models), 2)
+
+
+@query
+def lasso_grid_optimality(spark, sf):
+    """Rare categories and training samples of every model, and whether its fit meets the lasso's conditions on the counts."""
+    cells, people, size, rare_below = _grid_inputs(spark, sf)
+    models = grid.grid_models(DOMAIN, ["all"], list(grid.ANNOTATIONS), [grid.WHOLE, grid.EACH, grid.WITHOUT])
+    labels = cut_lineage(risk.model_labels(people, range(42, 43), 5, 0.7, False))
+    fits = cut_lineage(grid.fit_grid(cells, labels, DOMAIN, models, 5, rare_below, size.cases))
+    masks = grid.mask_table(spark, *grid.member_masks(cells.select("code").distinct(), DOMAIN, models))
+    members = cut_lineage(grid.rare_members(cells, labels, fits, masks, rare_below))
+    counted = members.groupBy("model").agg(F.count(F.lit(1)).alias("n_members"))
+    gaps = grid.optimality(cells, labels, fits, members)
+    n_train = labels.where("fold > 0").count()
+    met = (F.coalesce("gap", F.lit(0.0)) < 1e-6) & (F.coalesce("intercept_gap", F.lit(0.0)) < 1e-6)
+    return grid.model_table(spark, models).join(fits.select("model", "n_rare", "parameter"), "model").join(gaps, "model", "left").join(
+        counted, "model", "left"
+    ).select(
+        "domain", "dimension", "term", "mode", F.coalesce("n_members", F.lit(0)).alias("n_rare"),
+        (F.col("n_rare") == F.coalesce("n_members", F.lit(0))).alias("same_rare"), F.lit(n_train).cast("bigint").alias("n_train"), met.alias("optimal"),
+    )
+
+
 def _fitted_clusters(spark, sf):
     _, vectors = _spectrum(spark, sf)
     clusters, scores = netfit.cluster_categories(vectors, range(2, 9), 42)

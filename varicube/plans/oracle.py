@@ -401,7 +401,24 @@ members AS (
 _GENCODE_OF = """
 go AS (SELECT length("REF") = 1 AND length("ALT") = 1 AS snv, unnest(gc) AS gencode, gs[-1] AS gene_set FROM t)"""
 
+
+
+def _grid_sql() -> str:
+    """The models of the annotation grid over all categories, with their rare categories and training samples."""
+    dims = ("gene_set", "functional_score", "functional_annotation")
+    asked = [(d, t) for d in dims for t in star.DOMAIN.terms[d][1:]]
+    rows = [("NULL::VARCHAR", "NULL::VARCHAR", "'whole'", "true")]
+    rows += [(f"'{d}'", f"'{t}'", f"'{mode}'", f"{d} {sign} '{t}'") for mode, sign in (("each", "="), ("without", "<>")) for d, t in asked]
+    selects = " UNION ALL ".join(
+        f"SELECT 'all' AS domain, {d} AS dimension, {t} AS term, {m} AS mode, count(*) FILTER (WHERE {rule}) AS n_rare FROM burden WHERE ctrl_n < n_ctrl // 10"
+        for d, t, m, rule in rows
+    )
+    train = """(SELECT CAST(sum(round_even(c * 0.7::DOUBLE, 0)) AS BIGINT) FROM (SELECT count(*) AS c FROM people GROUP BY "PHENOTYPE"))"""
+    return f"WITH {BURDEN} SELECT *, true AS same_rare, {train} AS n_train, true AS optimal FROM ({selects})"
+
+
 ORACLE: dict[str, str] = {
+    "lasso_grid_optimality": _grid_sql(),
     "scan_samples": f'WITH {PEOPLE} SELECT "SAMPLE", "PHENOTYPE", "FAMILY" FROM people',
     "info_parse_kv": f"""WITH {VARIANTS} SELECT "POS", "Consequence", "SAMPLE" AS info_sample, 'SYM=' || "SYMBOL" AS info_rule, "ANNOT" AS info_annot, 1 AS has_db FROM v""",
     "csq_positional_split": f"""WITH {VARIANTS} SELECT "SAMPLE", "POS", "Consequence", "SYMBOL", "NEAREST", "LoF", "LoF_flags", "{SCORE}" FROM v""",

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varicube.domain import DIMENSIONS, CategoryDomain, region_flags
+from varicube.domain import DIMENSIONS, REGION_FLAGS, CategoryDomain, region_flags
 from varicube.functions import annotate, stats
 from varicube.operators import (
-    burden, cube, extract, gram, intervals, keys, netfit, network, permutation, risk, shift, spectrum,
+    burden, cube, extract, gram, grid, intervals, keys, netfit, network, permutation, risk, shift, spectrum,
 )
 from varicube.session import cut_lineage
 from varicube.sources import tables, vcf
@@ -164,23 +164,43 @@ def burden_shift(spark, burden_path, pvals_path, info_path, counts_path, domain,
     tables.write_table(shift.trial_distribution(sets, raw, signed, cutoff, p_cut), f"{out_dir}/burdenshift_trials")
 
 
-def risk_score(spark, counts_dir, samples_path, out_dir, factors_path=None, carriers=False, threshold=3, fraction=0.7, regressions=10, folds=5, permutations=1000, seed=42) -> None:
+def risk_score(
+    spark, counts_dir, samples_path, out_dir, factors_path=None, carriers=False, threshold=3, fraction=0.7, regressions=10, folds=5,
+    permutations=1000, seed=42, domains="all", modes=(), dimensions=tuple(grid.ANNOTATIONS),
+) -> None:
+    """Lasso risk scores of the chosen domains; with ``modes``, of each annotation term alone or of all but that term instead."""
     counts, domain, people, value = _burden_inputs(spark, counts_dir, samples_path, factors_path)
+    unknown = set(dimensions) - set(grid.ANNOTATIONS)
+    if unknown:
+        raise ValueError(f"no annotation dimension: {', '.join(sorted(unknown))}")
     size = burden.cohort(people)
     people = cut_lineage(extract.split_samples(people, fraction, seed))
-    cells = counts.select("SAMPLE", "code", (F.when(value > 0, 1).otherwise(0) if carriers else value).alias("value"))
-    codes = [r[0] for r in cells.select("code").distinct().orderBy("code").collect()]
-    n = size.cases + size.controls
-    labels = risk.model_labels(people, range(seed, seed + 10 * regressions, 10), folds, fraction, False)
-    models = cut_lineage(risk.fit_models(cells, labels, codes, folds, threshold, n, regressions))
-    null = None
-    if permutations:
-        labels = risk.model_labels(people, range(seed, seed + permutations), folds, fraction, True)
-        null = cut_lineage(risk.fit_models(cells, labels, codes, folds, threshold, n, permutations))
-        tables.write_table(null.select("seed", "r2"), f"{out_dir}/lasso_null_models")
-    chosen = cut_lineage(risk.selected_categories(models, regressions))
-    tables.write_table(chosen.withColumn("Category", domain.key(F.col("code"))).drop("code"), f"{out_dir}/lasso_coef")
-    tables.write_table(risk.score_table(models, null, chosen.count()), f"{out_dir}/lasso_results")
+    # A carrier counts with its adjustment factor, as a count does.
+    factor = F.col("adjusted") / F.col("n") if factors_path else F.lit(1)
+    cells = cut_lineage(counts.select("SAMPLE", "code", (F.when(F.col("n") > 0, factor).otherwise(0) if carriers else value).alias("value")))
+    names = tables.choose_domains(domains, list(REGION_FLAGS))
+    models = grid.grid_models(domain, names, list(dimensions), list(modes) or [grid.WHOLE])
+    table = grid.model_table(spark, models)
+
+    def fits(seeds: range, permute: bool) -> DataFrame:
+        labels = risk.model_labels(people, seeds, folds, fraction, permute)
+        return cut_lineage(grid.fit_grid(cells, labels, domain, models, folds, threshold, size.cases))
+
+    observed = fits(range(seed, seed + 10 * regressions, 10), False)
+    null = fits(range(seed, seed + permutations), True) if permutations else None
+    subset = ["domain", "dimension", "term", "mode"]
+    average = grid.grid_scores(observed, null, table, regressions)
+    each = observed.join(table, "model").select(*subset, F.col("seed").cast("string").alias("seed"), "parameter", "r2", F.col("n_select").cast("bigint").alias("n_select"))
+    results = average.withColumn("seed", F.lit("average")).select(*subset, "seed", *[c for c in average.columns if c not in subset])
+    tables.write_table(results.unionByName(each, allowMissingColumns=True), f"{out_dir}/lasso_results")
+    coefficients = observed.select("model", "seed", F.inline(F.arrays_zip("codes", "coefficients"))).join(table, "model")
+    tables.write_table(
+        coefficients.select(*subset, "seed", domain.key(F.col("codes")).alias("Category"), F.col("coefficients").alias("coefficient")), f"{out_dir}/lasso_coef"
+    )
+    if null is not None:
+        drawn = null.join(table, "model").select(*subset, F.col("seed").cast("string").alias("permutation"), "r2")
+        spread = drawn.groupBy(*subset).agg(F.avg("r2").alias("r2"), F.stddev_pop("r2").alias("std")).withColumn("permutation", F.lit("average"))
+        tables.write_table(spread.unionByName(drawn, allowMissingColumns=True), f"{out_dir}/lasso_null_models")
 
 
 def dawn(spark, vectors_path, correlation_path, permutation_path, counts_path, domain, out_dir, ks=range(2, 101), k=None, seed=42, sparsity=5.25, min_count=20, min_corr=0.12, min_size=2) -> None:
