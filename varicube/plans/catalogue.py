@@ -17,7 +17,7 @@ from varicube.operators import (
 from varicube.plans import model
 from varicube.plans import star_tables as star
 from varicube.session import checkpoint_folder, cut_lineage
-from varicube.sources import tables, vcf
+from varicube.sources import bgzf, tables, vcf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,6 +181,20 @@ def bed_text_roundtrip(spark, sf):
     return every.unionByName(tables.read_intervals(spark, path, "chr7").withColumn("asked", F.lit("chr7")))
 
 
+@query
+def indexed_contig_scan(spark, sf):
+    """Interval tracks written as blocked gzip and read back: all, one contig through the index, and one that is not there."""
+    path = f"{checkpoint_folder(spark)}/blocked-{uuid.uuid4().hex}"
+    rows = star.tracks(spark, sf)
+    line = F.concat_ws("\t", "chrom", "start", "end", F.concat(F.lit("track"), F.col("track").cast("string")))
+    bgzf.write_lines(rows.select(F.col("chrom").alias("contig"), "start", line.alias("value")), path, "start", header=["#chrom\tstart\tend\tname"])
+
+    def asked(name: str, contig: str | None) -> DataFrame:
+        return tables.read_intervals(spark, path, contig).withColumn("asked", F.lit(name))
+
+    return asked("all", None).unionByName(asked("chr7", "chr7")).unionByName(asked("chrUn", "chrUn"))
+
+
 @query
 def region_flag_table(spark, sf):
     found = cube.category_universe(model.totals(spark, sf), DOMAIN)

@@ -8,14 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varicube.domain import DIMENSIONS, CategoryDomain
+from varicube.sources import bgzf
 
 # Lines of an interval file that hold no interval: blank, comments, browser lines, and a line of column names.
 NO_INTERVAL = r"(?i)^(?:\s*$|#|track\b|browser\b|[^\t]*\t(?:chrom)?start\t(?:chrom)?end(?:\t|$))"
 
 
 def read_intervals(spark: SparkSession, path: str, contig: str | None = None) -> DataFrame:
-    """A BED file (plain or gzip): its first three columns. A line that is no interval and no header fails the read."""
-    lines = spark.read.text(path).where(~F.col("value").rlike(NO_INTERVAL))
+    """A BED file (plain, gzip or blocked gzip): its first three columns. A line that is no interval and no header fails the read.
+
+    Blocked gzip is read by many tasks; with an index beside it, only the wanted contig's blocks are read.
+    """
+    split = bgzf.split_lines(spark, path, contig)
+    lines = (spark.read.text(path) if split is None else split).where(~F.col("value").rlike(NO_INTERVAL))
     cells = F.split("value", "\t", -1)
 
     def position(i: int):

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varicube.sources import bgzf
+
 
 @dataclass(frozen=True)
 class VariantHeader:
@@ -35,8 +37,11 @@ def column_names(line: str) -> list[str]:
 
 def read_header(spark: SparkSession, path: str) -> VariantHeader:
     """Header lines of the first file under ``path``: the driver sees no variant row."""
-    first = sorted(spark.read.text(path).inputFiles())[0]
-    lines = [r[0] for r in spark.read.text(first).where(F.startswith("value", F.lit("#"))).collect()]
+    if bgzf.split_lines(spark, path) is not None:
+        lines = bgzf.header_lines(path)
+    else:
+        first = sorted(spark.read.text(path).inputFiles())[0]
+        lines = [r[0] for r in spark.read.text(first).where(F.startswith("value", F.lit("#"))).collect()]
     columns = next((column_names(x) for x in lines if x.startswith("#CHROM")), [])
     csq = next((csq_field_names(x) for x in lines if x.startswith("##INFO=<ID=CSQ")), [])
     tracks = next((track_field_names(x) for x in lines if x.startswith("##INFO=<ID=ANNOT")), [])
@@ -62,15 +67,20 @@ def csq_columns(csq: Column, names) -> list[Column]:
     return [F.get(parts, i).alias(name) for i, name in enumerate(names)]
 
 
-def read_variants(spark: SparkSession, path: str, partitions: int | None = None) -> tuple[DataFrame, VariantHeader]:
-    """Variants with INFO keys and CSQ fields as columns (all text, ANNOT as BIGINT or track ids).
+def read_variants(
+    spark: SparkSession, path: str, partitions: int | None = None, contig: str | None = None
+) -> tuple[DataFrame, VariantHeader]:
+    """Variants (of one contig if asked) with INFO keys and CSQ fields as columns (all text, ANNOT as BIGINT or track ids).
 
-    A gzip file is one split, so a reader of few large files should pass ``partitions`` to spread rows
-    before the wide work.
+    Blocked gzip is read by many tasks, and with an index only the contig's blocks. A plain gzip file is one split, so a
+    reader of few large files should pass ``partitions`` to spread rows before the wide work.
     """
     header = read_header(spark, path)
-    rows = spark.read.text(path).where(~F.startswith("value", F.lit("#")))
-    if partitions:
+    split = bgzf.split_lines(spark, path, contig)
+    rows = (spark.read.text(path) if split is None else split).where(~F.startswith("value", F.lit("#")))
+    if contig is not None:
+        rows = rows.where(F.startswith("value", F.lit(f"{contig}\t")))
+    if partitions and split is None:
         rows = rows.repartition(partitions)
     cells = F.split("value", "\t", -1)
     table = rows.select(*[cells[i].alias(name) for i, name in enumerate(header.columns)])
