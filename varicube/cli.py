@@ -79,6 +79,12 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--k-range", default="2,100")
     p.add_argument("--k", type=int)
     p.add_argument("--seed", type=int, default=42)
+    p.add_argument("--leiden", choices=("eigen_vector", "corr_mat"))
+    p.add_argument("--resolution", type=float, default=1.0)
+    p.add_argument("--sparsity", type=float, default=5.25)
+    p.add_argument("--min-count", type=int, default=20)
+    p.add_argument("--min-corr", type=float, default=0.12)
+    p.add_argument("--min-size", type=int, default=2)
     return parser
 
 
@@ -126,7 +132,7 @@ def main(argv: list[str] | None = None) -> None:
             low, high = (int(v) for v in a.k_range.split(","))
             steps.dawn(
                 spark, a.vectors, a.matrix, a.permutation, a.category_counts, domain, a.out,
-                range(low, high + 1), a.k, a.seed,
+                range(low, high + 1), a.k, a.seed, a.sparsity, a.min_count, a.min_corr, a.min_size, a.leiden, a.resolution,
             )
 
 

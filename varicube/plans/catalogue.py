@@ -12,7 +12,7 @@ from varicube.domain import DIMENSIONS, REDUNDANT_GENESET_GENCODE, REDUNDANT_TYP
 from varicube.functions import annotate, stats
 from varicube.functions.scalars import divide, half_even
 from varicube.operators import (
-    burden, cube, extract, gram, grid, intervals, keys, netfit, network, ordered, permutation, risk, shift, spectrum,
+    burden, communities, cube, extract, gram, grid, intervals, keys, netfit, network, ordered, permutation, risk, shift, spectrum,
 )
 from varicube.plans import model
 from varicube.plans import star_tables as star
@@ -866,6 +866,36 @@ def network_communities(spark, sf):
     return found.select(DOMAIN.key(F.col("node")).alias("Category"), DOMAIN.key(F.col("community")).alias("community"))
 
 
+def _leiden(spark, sf):
+    points = communities.matrix_points(cut_lineage(gram.correlation(_variant_pairs(spark, sf))), "corr")
+    reduced = cut_lineage(communities.principal_points(points))
+    edges = cut_lineage(communities.neighbour_graph(reduced))
+    nodes = reduced.select(F.col("code").alias("node"))
+    return edges, cut_lineage(communities.leiden(edges, nodes))
+
+
+@query
+def leiden_quality(spark, sf):
+    """Whether every community is connected, and whether the modularity computed in SQL from the labels agrees."""
+    edges, found = _leiden(spark, sf)
+    parts = communities.connected_parts(communities._both(edges), found)
+    restated = spark.sql(
+        """
+        WITH m AS (SELECT sum(weight) AS m FROM {edges}),
+        degree AS (SELECT node, sum(weight) AS k FROM (SELECT src AS node, weight FROM {edges} UNION ALL SELECT dst, weight FROM {edges}) GROUP BY node),
+        inside AS (SELECT sum(e.weight) AS w FROM {edges} e JOIN {found} a ON a.node = e.src JOIN {found} b ON b.node = e.dst AND b.community = a.community),
+        squares AS (SELECT sum(k * k) AS s FROM (SELECT f.community, sum(k) AS k FROM degree d JOIN {found} f ON f.node = d.node GROUP BY f.community))
+        SELECT w / m - s / (4 * m * m) AS q FROM m, inside, squares
+        """,
+        edges=edges, found=found,
+    ).first()[0]  # one row of four sums
+    quality = communities.modularity(edges, found)
+    return found.join(parts.select("node", F.col("community").alias("part")), "node").agg(
+        F.count(F.lit(1)).alias("n_categories"), (F.countDistinct("community") == F.countDistinct("part")).alias("connected"),
+        F.lit(abs(quality - restated) < 1e-9).alias("modularity_agrees"), F.lit(quality > 0.1).alias("modular"),
+    )
+
+
 @query
 def cluster_pairs(spark, sf):
     return network.cluster_pairs(_clusters(spark, sf).select("cluster").distinct())

@@ -518,6 +518,7 @@ FROM people JOIN ends USING ("FAMILY")""",
     "category_key_codes": f"""WITH {CUBE} SELECT "Category", {_code_sql()} AS code, {_code_sql()} AS code_by_terms, "Category" AS again FROM raw""",
     "bed_text_roundtrip": f"""WITH {TRACKS} SELECT chrom, start, "end", 'all' AS asked FROM iv UNION ALL SELECT chrom, start, "end", 'chr7' FROM iv WHERE chrom = 'chr7'""",
     "indexed_contig_scan": f"""WITH {TRACKS} SELECT chrom, start, "end", 'all' AS asked FROM iv UNION ALL SELECT chrom, start, "end", 'chr7' FROM iv WHERE chrom = 'chr7'""",
+    "leiden_quality": f"""WITH {CUBE} SELECT count(*) AS n_categories, true AS connected, true AS modularity_agrees, true AS modular FROM raw""",
     "correlation_sample": f"""WITH {PAIRS_SAMPLE}{CORR} SELECT category_i, category_j, {_r6('corr', 'corr')} FROM corr""",
     "correlation_variant": f"""WITH {PAIRS_VARIANT}{CORR} SELECT category_i, category_j, {_r6('corr', 'corr')} FROM corr""",
     "covariance_inter": f"""WITH {PAIRS_VARIANT},{PEOPLE} SELECT category_i, category_j, {_r6('n * (n_case / (n_case + n_ctrl)::DOUBLE) * (n_ctrl / (n_case + n_ctrl)::DOUBLE)', 'value')} FROM pairs CROSS JOIN size""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from varicube.domain import DIMENSIONS, REGION_FLAGS, CategoryDomain, region_flags
 from varicube.functions import annotate, stats
 from varicube.operators import (
-    burden, cube, extract, gram, grid, intervals, keys, netfit, network, permutation, risk, shift, spectrum,
+    burden, communities, cube, extract, gram, grid, intervals, keys, netfit, network, permutation, risk, shift, spectrum,
 )
 from varicube.session import cut_lineage
 from varicube.sources import tables, vcf
@@ -203,10 +203,19 @@ def risk_score(
         tables.write_table(spread.unionByName(drawn, allowMissingColumns=True), f"{out_dir}/lasso_null_models")
 
 
-def dawn(spark, vectors_path, correlation_path, permutation_path, counts_path, domain, out_dir, ks=range(2, 101), k=None, seed=42, sparsity=5.25, min_count=20, min_corr=0.12, min_size=2) -> None:
-    """Cluster categories, build the cluster graph, and test clusters with the random field."""
+def dawn(spark, vectors_path, correlation_path, permutation_path, counts_path, domain, out_dir, ks=range(2, 101), k=None, seed=42, sparsity=5.25, min_count=20, min_corr=0.12, min_size=2, leiden=None, resolution=1.0) -> None:
+    """Cluster categories, build the cluster graph, and test clusters with the random field.
+
+    ``leiden`` is ``eigen_vector`` or ``corr_mat``: communities of the neighbour graph of these rows instead of k-means.
+    """
     vectors, corr = spark.read.parquet(vectors_path), spark.read.parquet(correlation_path)
-    clusters, scores = netfit.cluster_categories(vectors, ks, seed, k)
+    if leiden not in (None, "eigen_vector", "corr_mat"):
+        raise ValueError(f"leiden must be eigen_vector or corr_mat, not {leiden}")
+    if leiden:
+        points = vectors.select("code", F.col("vector").alias("point")) if leiden == "eigen_vector" else communities.matrix_points(corr, "corr")
+        clusters, scores = communities.category_communities(points, resolution), []
+    else:
+        clusters, scores = netfit.cluster_categories(vectors, ks, seed, k)
     clusters = cut_lineage(clusters)
     tested = tables.with_codes(tables.read_table(spark, permutation_path), domain).select("code", "P", "Relative_Risk")
     raw = tables.with_codes(tables.read_table(spark, counts_path), domain).select("code", "Raw_counts")

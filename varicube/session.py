@@ -6,6 +6,7 @@ import atexit
 import functools
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,3 +97,14 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     """
     _ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """``frame`` written as Parquet below the checkpoint folder and read from there.
+
+    For loops: a checkpoint keeps the size estimate of its plan, and every join multiplies estimates, so after some
+    rounds the planner works on numbers with thousands of digits. Files have a size of their own.
+    """
+    path = f"{checkpoint_folder(frame.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
