@@ -67,7 +67,7 @@ def test_pipeline(spark, tmp_path):
 
     n = steps.effective_num_test(
         spark, at("corr/correlation_matrix/domain=all"), at("binom/category_counts"), domain, at("samples.txt"), at("eff")
-    )
+    )["all"]
     assert 0 < n <= table.count()
 
     category = "All_Any_score_Any_Any"
@@ -97,6 +97,13 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     run("correlation --counts {cat} --level sample --out {corr}")
     run("effective_num_test --counts {cat} --matrix {corr}/correlation_matrix/domain=all --category-counts {binom}/category_counts --samples {samples} --out {eff}")
     assert "effective tests:" in capsys.readouterr().out
+    run("effective_num_test --counts {cat} --matrix {corr}/correlation_matrix/domain=all --category-counts {binom}/category_counts --count-threshold 1 --category-set {binom}/category_info --domains all,Coding --out {risk}_eff")
+    lines = [line for line in capsys.readouterr().out.splitlines() if line.startswith("effective tests:")]
+    assert [line.split("(")[1] for line in lines] == ["all)", "coding)"] and int(lines[1].split()[2]) <= int(lines[0].split()[2])
+    (tmp_path / "rules.txt").write_text("variant_type\tgene_set\tfunctional_score\tgencode\tfunctional_annotation\nSNV\t*\t*\t*\t*\n")
+    run(f"categorization {source} --redundant {at('rules.txt')} --out {{cat}}_rules")
+    terms = tables.read_counts(spark, places["cat"] + "_rules")
+    assert {r[0] for r in terms[0].select(terms[1].decode(F.col("code"))[0]).distinct().collect()} == {"All", "Indel"}
     run(f"extract_variant {source} --annotation-info --out {{extract}}")
     extracted = tables.read_table(spark, places["extract"] + "/extracted_variants")
     assert {"CLASS", "ProteinCoding", "Risk", "score", "enhancer"} <= set(extracted.columns) and extracted.count() == 900

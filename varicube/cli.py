@@ -37,6 +37,8 @@ def _parser() -> argparse.ArgumentParser:
         p = step(name, "vcf", "genes", "score-column")
         p.add_argument("--scores", nargs="*", default=[])
         p.add_argument("--threshold", type=float, required=True)
+        if name == "categorization":
+            p.add_argument("--redundant", help="table of redundant categories, * for any term")
         if name == "extract_variant":
             p.add_argument("--category-set")
             p.add_argument("--annotation-info", action="store_true")
@@ -72,6 +74,8 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--format", choices=("corr", "inter"), default="corr")
     p.add_argument("--count-threshold", type=int)
     p.add_argument("--components", type=int)
+    p.add_argument("--category-set")
+    p.add_argument("--domains", default="all", help="all, run_all or a comma-separated list; is_* columns of the category set")
     p = step("burden_shift", "counts", "burden", "pvals", "category-info", "category-counts")
     p.add_argument("--cutoff", type=float, default=7)
     p.add_argument("--pval", type=float, default=0.05)
@@ -101,7 +105,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.step == "annotation":
         steps.annotation(spark, a.vcf, a.segments, a.out)
     elif a.step == "categorization":
-        steps.categorization(spark, a.vcf, a.genes, a.scores, a.score_column, a.threshold, a.out)
+        steps.categorization(spark, a.vcf, a.genes, a.scores, a.score_column, a.threshold, a.out, a.redundant)
     elif a.step == "extract_variant":
         steps.extract_variant(
             spark, a.vcf, a.genes, a.scores, a.score_column, a.threshold, a.out, a.category_set, a.annotation_info
@@ -123,9 +127,11 @@ def main(argv: list[str] | None = None) -> None:
         _, domain = tables.read_counts(spark, a.counts)
         if a.step == "effective_num_test":
             n = steps.effective_num_test(
-                spark, a.matrix, a.category_counts, domain, a.samples, a.out, a.format, a.count_threshold, a.components
+                spark, a.matrix, a.category_counts, domain, a.samples, a.out, a.format, a.count_threshold, a.components,
+                a.category_set, a.domains,
             )
-            print(f"effective tests: {n}")
+            for name, tests in n.items():
+                print(f"effective tests: {tests} ({name})")
         elif a.step == "burden_shift":
             steps.burden_shift(spark, a.burden, a.pvals, a.category_info, a.category_counts, domain, a.out, a.cutoff, a.pval)
         else:

@@ -41,9 +41,14 @@ def _termed(spark, vcf_path, gene_path, scores, score_column, threshold):
     return annotate.with_terms(located, domain, score_column, threshold), domain
 
 
-def categorization(spark, vcf_path, gene_path, scores, score_column, threshold, out_dir) -> None:
+def categorization(spark, vcf_path, gene_path, scores, score_column, threshold, out_dir, rules_path=None) -> None:
+    """``rules_path`` names a table of redundant categories (five term columns, ``*`` for any) that are left out as well."""
     termed, domain = _termed(spark, vcf_path, gene_path, scores, score_column, threshold)
-    tables.write_counts(cube.category_counts(termed, domain), domain, out_dir)
+    counts = cube.category_counts(termed, domain)
+    if rules_path:
+        kept = cube.drop_by_rule_table(cube.category_universe(counts, domain), tables.read_table(spark, rules_path))
+        counts = counts.join(kept.select("code"), "code", "left_semi")
+    tables.write_counts(counts, domain, out_dir)
 
 
 def _burden_inputs(spark, counts_dir, samples_path, factors_path):
@@ -134,22 +139,35 @@ def correlation(spark, counts_dir, out_dir, level, info_path=None, domains="all"
         gram.correlation(chosen).write.mode("overwrite").parquet(f"{out_dir}/correlation_matrix/domain={name}")
 
 
-def effective_num_test(spark, matrix_path, category_counts_path, domain, samples_path, out_dir, matrix="corr", threshold=None, components=None) -> int:
+def effective_num_test(
+    spark, matrix_path, category_counts_path, domain, samples_path, out_dir, matrix="corr", threshold=None, components=None,
+    set_path=None, domains="all",
+) -> dict[str, int]:
+    """Effective number of tests of every chosen domain.
+
+    ``set_path`` is a category table: only its categories count, and its is_* columns define the domains.
+    """
     pairs = spark.read.parquet(matrix_path)
     if threshold is None and not samples_path or matrix == "inter" and not samples_path:
         raise ValueError("samples are needed for the count threshold and for the covariance")
     size = burden.cohort(tables.read_samples(spark, samples_path)) if samples_path else None
     cut = threshold if threshold is not None else stats.count_threshold(size.case_share)
-    raw = tables.with_codes(tables.read_table(spark, category_counts_path), domain).where(F.col("Raw_counts") >= cut).select("code")
-    kept = pairs.join(raw.withColumnRenamed("code", "code_i"), "code_i", "left_semi").join(raw.withColumnRenamed("code", "code_j"), "code_j", "left_semi")
-    if matrix == "inter":
-        kept, column = gram.covariance(kept, size.case_share), "value"
-    else:
-        column = "corr"
-    values, vectors = spectrum.eigen_decomposition(gram.normalised(kept, column), components)
-    values.write.mode("overwrite").parquet(f"{out_dir}/eig_vals")
-    vectors.write.mode("overwrite").parquet(f"{out_dir}/eig_vecs")
-    return spectrum.effective_number(values)
+    wanted = tables.with_codes(tables.read_table(spark, category_counts_path), domain).where(F.col("Raw_counts") >= cut).select("code")
+    members = tables.with_codes(tables.read_table(spark, set_path), domain) if set_path else None
+    if members is not None:
+        wanted = wanted.join(members.select("code"), "code", "left_semi")
+    found = {}
+    names = tables.choose_domains(domains, members.columns if members is not None else [])
+    for name in names:
+        chosen = wanted if name == "all" else wanted.join(members.where(F.col(f"is_{name}") == 1).select("code"), "code", "left_semi")
+        kept = pairs.join(chosen.withColumnRenamed("code", "code_i"), "code_i", "left_semi").join(chosen.withColumnRenamed("code", "code_j"), "code_j", "left_semi")
+        kept, column = (gram.covariance(kept, size.case_share), "value") if matrix == "inter" else (kept, "corr")
+        values, vectors = spectrum.eigen_decomposition(gram.normalised(kept, column), components)
+        folder = out_dir if names == ["all"] else f"{out_dir}/domain={name}"
+        values.write.mode("overwrite").parquet(f"{folder}/eig_vals")
+        vectors.write.mode("overwrite").parquet(f"{folder}/eig_vecs")
+        found[name] = spectrum.effective_number(values)
+    return found
 
 
 def burden_shift(spark, burden_path, pvals_path, info_path, counts_path, domain, out_dir, cutoff=7, p_cut=0.05) -> None:
