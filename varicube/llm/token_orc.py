@@ -40,7 +40,7 @@ END_ID = 2
 ROW_STRIDE = 1_000
 STRIPE_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 600_000
 LONG_WORD = 64
 WORDS_A_CALL = 5_000
 SENTENCE_MARKS = ".,;:!?"
