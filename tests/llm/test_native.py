@@ -98,6 +98,23 @@ def test_classes_hot_group_without_ids(spark, empty):
     assert {r["doc_id"] for r in smallest} == {1, None}
 
 
+def test_classes_many_equal_rows_without_ids(spark):
+    frame = spark.range(100_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'one hot text' AS text")
+    got = exact_dedup.classes(frame)
+    row = got.groupBy("doc_id", "keep_id", "group_size").agg({"*": "count"}).collect()
+    assert [tuple(r) for r in row] == [(None, None, 100_000, 100_000)]
+    assert got.where("kept").count() == 1
+
+
+def test_classes_compare_neighbours(spark, documents, monkeypatch):
+    """Texts are range-partitioned, sorted and windowed; no hash aggregate or hash exchange touches them."""
+    monkeypatch.setattr(exact_dedup, "checkpointed", lambda frame: frame)
+    plan = exact_dedup.classes(documents)._jdf.queryExecution().executedPlan().toString()
+    touched = [line for line in plan.splitlines() if "text#" in line and ("Aggregate" in line or "hashpartitioning" in line)]
+    assert "Window" in plan and "rangepartitioning(lead" in plan
+    assert not [line for line in touched if "keys=[hash#" not in line and "hashpartitioning(hash#" not in line], touched
+
+
 def brute_shards(rows, shards=16):
     """rows: (doc_id, text, source) -> [(doc_id, shard, slot)]"""
     by_source = defaultdict(list)

@@ -1,12 +1,14 @@
 """Exact deduplication by content sort.
 
 Spark samples splitters over (leading characters, 64-bit hash, salt) and range-partitions the rows by them, so the
-splitters stay short however long the texts are. Inside a partition an external sort on (leading characters, hash, salt,
-whole text) puts equal texts next to each other, and the aggregation over that order compares neighbours in full.
+splitters stay short however long the texts are. Inside a partition one external sort on (leading characters, hash, salt,
+whole text, id) puts equal texts next to each other; a window over that order compares neighbours in full, numbers the
+rows of a group and gives each the group's first id and size. No group is gathered in a cell.
 
-A text with many copies would fill one partition. A first pass counts narrow hashes; one held by more than a 4,096th of
-the rows (so at most 4,096 of them) gets a salt per ``per_salt`` rows. Its partial groups, a few rows each, are then merged by
-full text. A hash collision only adds a needless salt.
+A text with many copies would fill one partition. A first pass adds up bytes by hash; a hash above the limit (1 MB, or a
+2^20th of all bytes, so at most 2^20 hashes of 16 bytes are broadcast) is salted into parts of about that size. The first
+row of each part then meets the other parts' first rows in a second sort by whole text. A hash collision only adds a
+needless salt.
 
 Defined cases: a null text counts as empty; a null id sorts below all others and is the kept one only in a group
 without ids; repeated rows with the kept id keep one row (the first of them after the sort); an empty table gives an
@@ -15,60 +17,61 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from varicube.llm.common import checkpointed
 
-HEAVY_SHARE = 4096
-PER_SALT = 1_000
+MOST_HEAVY = 1 << 20
+PER_SALT = 1 << 20
+ROW_BYTES = 64
 LEADING = 32
 
 
 def classes(docs: DataFrame, normalise=lambda text: text, keep: str = "max", per_salt: int = PER_SALT) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    ``normalise`` maps the text column to the text that is compared; ``keep`` is ``max`` or ``min`` of doc_id.
+    ``normalise`` maps the text column to the text that is compared; ``keep`` is ``max`` or ``min`` of doc_id;
+    ``per_salt`` is the size in bytes above which the copies of a text are dealt over several partitions.
     """
     text = normalise(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.select("doc_id", text.alias("text"))
-    counts = rows.select(F.xxhash64("text").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    most = max(per_salt, rows.count() // HEAVY_SHARE)
-    heavy = counts.where(F.col("n") > most).select(F.col("hash").alias("heavy_hash"), F.ceil(F.col("n") / per_salt).alias("salts"))
-    heavy = checkpointed(heavy)
-    hashed = rows.withColumn("hash", F.xxhash64("text")).join(
-        F.broadcast(heavy), F.col("hash") == F.col("heavy_hash"), "left"  # at most HEAVY_SHARE rows of 16 bytes
+    rows = docs.select("doc_id", text.alias("text")).withColumn("hash", F.xxhash64("text"))
+    sizes = checkpointed(rows.groupBy("hash").agg(F.sum(F.octet_length("text") + F.lit(ROW_BYTES)).alias("bytes")))
+    most = max(per_salt, (sizes.agg(F.sum("bytes")).first()[0] or 0) // MOST_HEAVY)
+    heavy = sizes.where(F.col("bytes") > most).select(
+        F.col("hash").alias("heavy_hash"), F.ceil(F.col("bytes") / F.lit(most)).alias("salts")
     )
-    salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("salts"))).otherwise(F.lit(0))
+    hashed = rows.join(F.broadcast(heavy), F.col("hash") == F.col("heavy_hash"), "left")
+    # The row's number spreads copies without an id, or with one id, as well.
+    dealt = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.col("salts"))
     keyed = hashed.select(
-        F.substring("text", 1, LEADING).alias("lead"), "hash", salt.alias("salt"), "text",
-        (F.coalesce(F.col("salts"), F.lit(1)) > 1).alias("salted"), "doc_id",
+        F.substring("text", 1, LEADING).alias("lead"), "hash", F.coalesce(dealt, F.lit(0)).alias("salt"), "text",
+        F.col("salts").isNotNull().alias("salted"), "doc_id", F.monotonically_increasing_id().alias("number"),
     )
-    order = ("lead", "hash", "salt", "text")
-    ordered = keyed.repartitionByRange("lead", "hash", "salt").sortWithinPartitions(*order)
-    best = F.max("doc_id") if keep == "max" else F.min("doc_id")
-    groups = ordered.groupBy(*order).agg(
-        F.max("salted").alias("salted"), best.alias("best"), F.count(F.lit(1)).alias("n"),
-        F.sort_array(F.collect_list(F.struct("doc_id"))).alias("rows"),
+    first = F.col("doc_id").desc_nulls_last() if keep == "max" else F.col("doc_id").asc_nulls_last()
+    equal = Window.partitionBy("lead", "hash", "salt", "text").orderBy(first, "number")
+    whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ordered = keyed.repartitionByRange("lead", "hash", "salt").select(
+        "lead", "hash", "text", "salted", "doc_id", F.row_number().over(equal).alias("place"), F.first("doc_id").over(whole).alias("best"),
+        F.count(F.lit(1)).over(whole).alias("n"), F.first("number").over(whole).alias("part"),
     )
-    first = F.array_position("rows", F.struct(F.col("best").alias("doc_id")))
+    heads = F.col("salted") & (F.col("place") == 1)
     narrow = checkpointed(
-        groups.select(
-            "salted", "best", "n", "rows", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
-            F.when(F.col("salted"), F.col("text")).alias("text"),
+        ordered.select(
+            "doc_id", "best", "n", "part", "salted", (F.col("place") == 1).alias("kept"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+            F.when(heads, F.struct("lead", "hash", "text")).alias("head"),
         )
     )
-    single = narrow.where(~F.col("salted")).select("rows", "best", "n", "text_sha256")
-    parts = narrow.where("salted")
-    whole = parts.groupBy("text").agg((F.max("best") if keep == "max" else F.min("best")).alias("best"), F.sum("n").alias("n"))
-    merged = parts.drop("best", "n").join(whole, "text").select("rows", "best", "n", "text_sha256")
-    each = single.unionByName(merged).withColumn("first", first).select(
-        "best", "n", "text_sha256", "first", F.posexplode("rows").alias("place", "row")
-    )
-    return each.select(
-        F.col("row.doc_id").alias("doc_id"), F.col("best").alias("keep_id"), F.col("n").alias("group_size"),
-        (F.col("place") + 1 == F.col("first")).alias("kept"), "text_sha256",
+    columns = ("doc_id", F.col("best").alias("keep_id"), F.col("n").alias("group_size"), "kept", "text_sha256")
+    parts = narrow.where(F.col("head").isNotNull()).select("head.lead", "head.hash", "head.text", "best", "n", "part")
+    first = F.col("best").desc_nulls_last() if keep == "max" else F.col("best").asc_nulls_last()
+    equal = Window.partitionBy("lead", "hash", "text").orderBy(first, "part")
+    whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    merged = parts.repartitionByRange("lead", "hash").select(
+        "part", F.first("best").over(whole).alias("best"), F.sum("n").over(whole).alias("n"), (F.row_number().over(equal) == 1).alias("leads")
     )
+    salted = narrow.where("salted").drop("best", "n").join(merged, "part").withColumn("kept", F.col("kept") & F.col("leads"))
+    return narrow.where(~F.col("salted")).select(*columns).unionByName(salted.select(*columns))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
