@@ -77,3 +77,23 @@ def test_edges(spark, edge, empty, items):
     odd = spark.createDataFrame([(None, None), (1, ""), (2, "x"), (3, "The same text of a few words here."), (3, "The same text of a few words here.")], "item_id long, text string")
     assert {r["doc_id"] for r in dec.hits(edge, odd).collect()} == {6, 7, 8}
     assert dec.hits(edge, odd.limit(0)).count() == 0 and dec.clean(edge, odd.limit(0)).count() == 10
+
+
+def test_results_go_by_row(spark):
+    item = "the little red boat sailed over the wide blue bay at noon"
+    items = spark.createDataFrame([(7, item), (None, item)], "item_id long, text string")
+    rows = [(None, f"yes {item} yes"), (None, "nothing to see in here at all"), (5, "a clean text of some plain words"), (5, item), (None, None), (6, "x " * 100_000 + item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS matches", "2 AS item_id")
+    got = [(r["doc_id"], r["contaminated"], r["n_items"], r["item_ids"], r["best_score"]) for r in dec.report(docs, items).collect()]
+    hit, none = (True, 1, "7", pytest.approx(1.0)), (False, 0, "", None)
+    want = [(None, *hit), (None, *none), (5, *none), (5, *hit), (None, *none), (6, *hit)]
+    for row in want:
+        got.remove(row)
+    assert not got
+    assert sorted(r["text"] or "" for r in dec.clean(docs, items).collect()) == sorted(rows[i][1] or "" for i in (1, 2, 4))
+
+
+def test_invalid_bytes_are_replaced(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, CAST(X'616263FF20646566' AS STRING) AS text")
+    items = spark.sql("SELECT 3L AS item_id, CAST(X'6162632064656620FF' AS STRING) AS text")
+    assert [r["contaminated"] for r in dec.report(docs, items).collect()] == [True]

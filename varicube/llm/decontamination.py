@@ -17,8 +17,8 @@ The test set may be of any size: items are dealt to parts of bounded words, and
 ``PARTS_AT_ONCE`` parts; only those parts are sent to the tasks. Idf uses counts over all items.
 
 Defined cases: null and empty texts and items match nothing; a question or answer of fewer than five words is one
-shingle; repeated item ids are joined into one row per (id, text); repeated documents each get their result; empty
-tables give no match; extra columns pass through ``clean``.
+shingle; repeated item ids are joined into one row per (id, text); repeated documents, and rows without an id,
+each get their own result; an item without an id is found and not listed; invalid UTF-8 is replaced; empty tables give no match; extra columns pass through ``clean``.
 """
 
 from __future__ import annotations
@@ -27,11 +27,14 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from varicube.llm.common import checkpointed, slim_batches, utf8
 
@@ -84,7 +87,7 @@ class Part:
             }
             whole = sum(scores.values())
             impacts.append((whole, item_id, question, answer, {w: s / whole for w, s in scores.items()}))
-        impacts.sort(key=lambda x: (x[0], x[1]))
+        impacts.sort(key=lambda x: (x[0], str(x[1])))
         self.number: dict[str, int] = {}
         for _, _, _, _, scores in impacts:
             for w in scores:
@@ -131,15 +134,17 @@ class Part:
         get = self.number.get
         ids = [get(w, -1) for w in words]
         found, out = self.retrieve(ids, threshold), []
-        there: dict[int, set] = {}
+        # Of the text's shingles only those of the retrieved items are kept, so a long text needs no more memory.
+        wanted: dict[int, set] = defaultdict(set)
+        for place in found:
+            _, question, answer, q_words, a_words = self.items[place]
+            wanted[min(SHINGLE, q_words)] |= question
+            wanted[min(SHINGLE, a_words)] |= answer
+        there = {k: {s for s in zip(*[islice(ids, i, None) for i in range(k)]) if s in wanted[k]} for k in wanted}
         for place, score in found.items():
             item_id, question, answer, q_words, a_words = self.items[place]
-            shares = []
-            for side, n in ((question, q_words), (answer, a_words)):
-                k = min(SHINGLE, n)
-                if k and k not in there:
-                    there[k] = set(zip(*[ids[i:] for i in range(k)]))
-                shares.append(len(side & there[k]) / len(side) if side else 1.0)
+            sides = ((question, min(SHINGLE, q_words)), (answer, min(SHINGLE, a_words)))
+            shares = [len(side & there[k]) / len(side) if side else 1.0 for side, k in sides]
             if min(shares) >= overlap:
                 out.append((item_id, score, *shares))
         return out
@@ -152,7 +157,7 @@ def build(items: DataFrame, part_words: int = PART_WORDS) -> Iterator[Part]:
 
     def split(batches):
         for batch in batches:
-            sides = [question_and_answer(t.decode()) for t in utf8(batch.column("text"))]
+            sides = [question_and_answer(t.decode("utf-8", "replace")) for t in utf8(batch.column("text"))]
             yield pa.record_batch(
                 [batch.column("item_id"), pa.array([q for q, _ in sides], pa.list_(pa.string())), pa.array([a for _, a in sides], pa.list_(pa.string()))],
                 ["item_id", "question", "answer"],
@@ -196,37 +201,42 @@ def _groups(parts: Iterator[Part]) -> Iterator[list[Part]]:
         yield group
 
 
-def hits(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """One row per verified pair of document row and item: doc_id, item_id, score, question_overlap, answer_overlap."""
-    doc_kind, item_kind = docs.schema["doc_id"].dataType, items.schema["item_id"].dataType
-    schema = f"doc_id {doc_kind.simpleString()}, item_id {item_kind.simpleString()}, score double, question_overlap double, answer_overlap double"
-    result = docs.sparkSession.createDataFrame([], schema)
+def matched(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """Each document row with its verified items: doc_id, matches (item_id, score, question_overlap, answer_overlap).
+
+    Matches are gathered row by row, so rows without an id, or with one id, do not get each other's.
+    """
+    found = StructType([
+        StructField("item_id", items.schema["item_id"].dataType), *[StructField(c, DoubleType()) for c in ("score", "question_overlap", "answer_overlap")]
+    ])
+    rows = docs.select("doc_id", "text", F.array().cast(ArrayType(found)).alias("matches"))
+    kind = to_arrow_type(ArrayType(found))
     for group in _groups(build(items)):
 
         def run(batches, group=group):
             for batch in slim_batches(batches):
-                ids, texts = batch.column("doc_id").to_pylist(), utf8(batch.column("text"))
-                rows = []
-                for doc_id, text in zip(ids, texts):
-                    words = tokens(text.decode())
-                    rows += [(doc_id, *match) for part in group for match in part.matches(words, threshold, overlap)]
-                columns = list(zip(*rows)) or [[]] * 5
-                types = [batch.schema.field("doc_id").type, pa.int64() if item_kind.simpleString() == "bigint" else None, *[pa.float64()] * 3]
-                yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, types)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                lists = batch.column("matches").to_pylist()
+                for at, text in enumerate(utf8(batch.column("text"))):
+                    words = tokens(text.decode("utf-8", "replace"))
+                    new = [match for part in group for match in part.matches(words, threshold, overlap)]
+                    lists[at] = (lists[at] or []) + [dict(zip(found.names, match)) for match in new]
+                yield pa.record_batch([batch.column("doc_id"), batch.column("text"), pa.array(lists, kind)], ["doc_id", "text", "matches"])
+
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.select("doc_id", "matches")
 
-        result = result.union(docs.select("doc_id", "text").mapInArrow(run, schema))
-    return result
+
+def hits(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """One row per verified pair of document row and item: doc_id, item_id, score, question_overlap, answer_overlap."""
+    return matched(docs, items, threshold, overlap).select("doc_id", F.inline("matches"))
 
 
 def report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """One row per document row: doc_id, contaminated, n_items, item_ids (ascending, comma-joined), best_score."""
-    found = hits(docs, items, **options).groupBy("doc_id").agg(
-        F.array_sort(F.collect_set("item_id")).alias("ids"), F.max("score").alias("best_score")
-    )
-    joined = docs.select("doc_id").join(found, "doc_id", "left")
-    return joined.select(
-        "doc_id", F.col("ids").isNotNull().alias("contaminated"), F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_items"),
-        F.coalesce(F.array_join(F.col("ids").cast("array<string>"), ","), F.lit("")).alias("item_ids"), "best_score",
+    ids = F.array_sort(F.array_distinct(F.array_compact("matches.item_id")))
+    return matched(docs, items, **options).select(
+        "doc_id", (F.size("matches") > 0).alias("contaminated"), F.size(ids).cast("bigint").alias("n_items"),
+        F.array_join(ids.cast("array<string>"), ",").alias("item_ids"), F.array_max("matches.score").alias("best_score"),
     )
 
 
@@ -236,7 +246,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
 
         def run(batches, group=group):
             for batch in slim_batches(batches):
-                words = [tokens(text.decode()) for text in utf8(batch.column("text"))]
+                words = [tokens(text.decode("utf-8", "replace")) for text in utf8(batch.column("text"))]
                 yield batch.filter(pa.array([not any(part.matches(w, threshold, overlap) for part in group) for w in words], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

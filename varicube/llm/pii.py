@@ -13,7 +13,7 @@ passport cue. Added spans have kinds of their own, so the base spans and their c
 Every parser reads a datum's characters a bounded number of times, so a long run of digits or letters costs linear time.
 
 Defined cases: null and empty texts have no spans; offsets are code points, the end is exclusive; repeated rows give
-equal rows; an empty table gives an empty result; extra columns are ignored.
+equal rows; invalid UTF-8 is replaced; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -167,7 +167,7 @@ def find(docs: DataFrame) -> DataFrame:
         for batch in slim_batches(batches):
             rows = []
             for data in utf8(batch.column("text")):
-                text = data.decode()
+                text = data.decode("utf-8", "replace")
                 base = base_spans(text)
                 spans = [(a, b, kind) for kind in BASE for a, b in base[kind]]
                 digest = hashlib.sha256(joined(spans).encode()).hexdigest()
