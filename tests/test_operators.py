@@ -1,4 +1,5 @@
 import math
+import random
 from itertools import product
 from statistics import NormalDist
 
@@ -242,3 +243,24 @@ def test_rule_table_keeps_sibling_terms(spark):
     rules = spark.createDataFrame([("*", "Any", "*", "PTVRegion", "*")], list(DIMENSIONS))
     kept = cube.drop_by_rule_table(spark.createDataFrame(rows, list(DIMENSIONS)), rules).collect()
     assert [r["gene_set"] for r in kept] == ["G"]
+
+
+def test_exceedances_in_tiles_equal_those_of_trial_rows(spark):
+    draw = random.Random(8)
+    codes, n_codes, trials = (0, 1, 255, 256, 300, 420), 421, 600  # several code and trial blocks
+    rows = [(f"s{i:02d}", c, draw.randint(0, 4)) for i in range(24) for c in codes[:-1] if draw.random() < 0.4]
+    rows += [("other", 420, 3)]  # a category of nobody who takes part
+    counts = spark.createDataFrame(rows, "SAMPLE string, code bigint, n bigint")
+    people = spark.createDataFrame([(f"s{i:02d}", "case" if i % 3 else "ctrl") for i in range(24)] + [("other", "unknown")], "SAMPLE string, PHENOTYPE string")
+    size = burden.cohort(people)
+    observed = spark.createDataFrame([(c, r) for c, r in zip(codes, (1.2, 0.7, float("inf"), float("nan"), 1.0, 0.0))], "code bigint, Relative_Risk double")
+    for carriers in (False, True):
+        made = permutation.permuted_counts(counts, people, size, trials, n_codes, F.col("n"), carriers)
+        want = permutation.permutation_p(permutation.permuted_risk(made, size), observed, trials)
+        got = permutation.tiled_p(counts, people, size, observed, trials, n_codes, F.col("n"), carriers)
+        as_text = lambda frame: sorted(str((r["code"], r["Relative_Risk"], r["n_extreme"], r["P"])) for r in frame.collect())
+        assert as_text(got) == as_text(want) and got.count() == 6
+    two = {r["code"]: r["P"] for r in permutation.two_stage_p(counts, people, size, observed, 100, n_codes, F.col("n"), cut=0.5).collect()}
+    rows = permutation.permuted_counts(counts, people, size, 100, n_codes, F.col("n"))
+    given = {r["code"]: r["P"] for r in permutation.two_stage_p(counts, people, size, observed, 100, n_codes, F.col("n"), cut=0.5, trials=rows).collect()}
+    assert two == given

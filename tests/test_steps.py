@@ -94,6 +94,13 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     run("binomial_test --counts {cat} --samples {samples} --out {binom}")
     run("permutation_test --counts {cat} --samples {samples} --trials 20 --burden-shift --out {perm}")
     run("burden_shift --counts {cat} --burden {binom}/burden_test --pvals {perm}/binom_pvals --category-info {binom}/category_info --category-counts {binom}/category_counts --out {shift}")
+    shown = tables.read_table(spark, places["shift"] + "/burdenshift_shown")
+    assert 0 < shown.select("category_set").distinct().count() <= 10 and shown.count() == 2 * shown.select("category_set").distinct().count()
+    (tmp_path / "sets.txt").write_text("coding\n\nscore&Risk\nno_such_set\ncoding\n")
+    run(f"burden_shift --counts {{cat}} --burden {{binom}}/burden_test --pvals {{perm}}/binom_pvals --category-info {{binom}}/category_info --category-counts {{binom}}/category_counts --category-sets {at('sets.txt')} --cutoff 1 --out {{shift}}")
+    shown = tables.read_table(spark, places["shift"] + "/burdenshift_shown").collect()
+    assert {r["category_set"] for r in shown} == {"is_coding", "is_score_Risk"}, shown
+    assert {r["domain"] for r in shown} == {"Coding (All)", "Others"} and all(float(r["neg_log10_p"]) >= 0 for r in shown)
     run("correlation --counts {cat} --level sample --out {corr}")
     run("effective_num_test --counts {cat} --matrix {corr}/correlation_matrix/domain=all --category-counts {binom}/category_counts --samples {samples} --out {eff}")
     assert "effective tests:" in capsys.readouterr().out

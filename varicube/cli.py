@@ -79,6 +79,8 @@ def _parser() -> argparse.ArgumentParser:
     p = step("burden_shift", "counts", "burden", "pvals", "category-info", "category-counts")
     p.add_argument("--cutoff", type=float, default=7)
     p.add_argument("--pval", type=float, default=0.05)
+    p.add_argument("--category-sets", help="a list of category sets to show, one a line")
+    p.add_argument("--top", type=int, default=10, help="number of sets to show without a list")
     p = step("dawn", "counts", "vectors", "matrix", "permutation", "category-counts")
     p.add_argument("--k-range", default="2,100")
     p.add_argument("--k", type=int)
@@ -133,7 +135,7 @@ def main(argv: list[str] | None = None) -> None:
             for name, tests in n.items():
                 print(f"effective tests: {tests} ({name})")
         elif a.step == "burden_shift":
-            steps.burden_shift(spark, a.burden, a.pvals, a.category_info, a.category_counts, domain, a.out, a.cutoff, a.pval)
+            steps.burden_shift(spark, a.burden, a.pvals, a.category_info, a.category_counts, domain, a.out, a.cutoff, a.pval, a.category_sets, a.top)
         else:
             low, high = (int(v) for v in a.k_range.split(","))
             steps.dawn(

@@ -93,9 +93,27 @@ def _tile(key, labels: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"tb": [tb], "cb": [cb], "sums": [sums.tobytes()]})
 
 
-def _add_tiles(n_trials: int, n_codes: int):
-    def unfold(key: tuple[int, int], total: np.ndarray) -> pd.DataFrame:
-        tb, cb = key
+def _add_tiles(unfold):
+    """Sums of the tiles of each (trial block, code block), which come sorted; ``unfold`` turns a sum into rows."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, total, last = None, None, None
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if (row.tb, row.cb) != current:
+                    if total is not None:
+                        yield unfold(last, total)
+                    current, total, last = (row.tb, row.cb), np.zeros((2, TRIAL_BLOCK, CODE_BLOCK)), row
+                total += np.frombuffer(row.sums).reshape(total.shape)
+        if total is not None:
+            yield unfold(last, total)
+
+    return add
+
+
+def _trial_rows(n_trials: int, n_codes: int):
+    def unfold(row, total: np.ndarray) -> pd.DataFrame:
+        tb, cb = row.tb, row.cb
         trials = np.arange(tb * TRIAL_BLOCK + 1, min((tb + 1) * TRIAL_BLOCK, n_trials) + 1)
         codes = np.arange(cb * CODE_BLOCK, min((cb + 1) * CODE_BLOCK, n_codes))
         part = total[:, : len(trials), : len(codes)]
@@ -106,23 +124,27 @@ def _add_tiles(n_trials: int, n_codes: int):
             "ctrl_n": part[1].ravel(),
         })
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, total = None, None
-        for batch in batches:
-            for tb, cb, sums in zip(batch["tb"], batch["cb"], batch["sums"]):
-                if (tb, cb) != current:
-                    if total is not None:
-                        yield unfold(current, total)
-                    current, total = (tb, cb), np.zeros((2, TRIAL_BLOCK, CODE_BLOCK))
-                total += np.frombuffer(sums).reshape(total.shape)
-        if total is not None:
-            yield unfold(current, total)
+    return unfold
 
-    return add
 
+def _exceedances(n_trials: int, cases: int, controls: int):
+    """Trials of a tile at least as extreme as the observed risk, by code; their rows never leave the tile."""
+
+    def unfold(row, total: np.ndarray) -> pd.DataFrame:
+        trials = min(TRIAL_BLOCK, n_trials - row.tb * TRIAL_BLOCK)
+        cols = np.asarray(row.cols, dtype=np.int64)
+        rr = np.asarray(row.risks, dtype=float)
+        case_n, ctrl_n = np.rint(total[:, :trials][:, :, cols])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            perm = (case_n / float(cases)) / (ctrl_n / float(controls))
+            extreme = np.where(rr >= 1, perm >= rr, (rr < 1) & (perm <= rr))
+        return pd.DataFrame({"code": row.cb * CODE_BLOCK + cols, "n_extreme": extreme.sum(axis=0)})
+
+    return unfold
 
-def trial_totals(cells: DataFrame, labels: DataFrame, n_samples: int, n_trials: int, n_codes: int) -> DataFrame:
-    """Case and control totals: (trial, code, case_n, ctrl_n), unrounded.
+
+def trial_tiles(cells: DataFrame, labels: DataFrame, n_samples: int, n_trials: int, n_codes: int) -> DataFrame:
+    """Case and control sums by (trial block, code block), one row per sample block: tb, cb, sums.
 
     ``cells`` has ordinal (sample position), code and value.
     """
@@ -147,12 +169,34 @@ def trial_totals(cells: DataFrame, labels: DataFrame, n_samples: int, n_trials:
     key = ("sb", "cb", "tb")
     n_tiles = min(-(-n_samples // SAMPLE_BLOCK) * n_cb * n_tb, MOST_TASKS)
     spread, blocks = spread.repartition(n_tiles, *key), blocks.repartition(n_tiles, *key)
-    tiles = spread.groupBy(*key).cogroup(blocks.groupBy(*key)).applyInPandas(_tile, TILE)
-    return (
-        tiles.repartition(min(n_tb * n_cb, MOST_TASKS), "tb", "cb")
-        .sortWithinPartitions("tb", "cb")
-        .mapInPandas(_add_tiles(n_trials, n_codes), TOTALS)
-    )
+    return spread.groupBy(*key).cogroup(blocks.groupBy(*key)).applyInPandas(_tile, TILE)
+
+
+def _sorted_tiles(tiles: DataFrame, n_trials: int, n_codes: int) -> DataFrame:
+    n_tb, n_cb = -(-n_trials // TRIAL_BLOCK), -(-n_codes // CODE_BLOCK)
+    return tiles.repartition(min(n_tb * n_cb, MOST_TASKS), "tb", "cb").sortWithinPartitions("tb", "cb")
+
+
+def trial_totals(cells: DataFrame, labels: DataFrame, n_samples: int, n_trials: int, n_codes: int) -> DataFrame:
+    """Case and control totals: (trial, code, case_n, ctrl_n), unrounded."""
+    tiles = trial_tiles(cells, labels, n_samples, n_trials, n_codes)
+    return _sorted_tiles(tiles, n_trials, n_codes).mapInPandas(_add_tiles(_trial_rows(n_trials, n_codes)), TOTALS)
+
+
+def _drawn(
+    counts: DataFrame, samples: DataFrame, size: Cohort, n_trials: int, value: Column, carriers: bool, draw: str
+) -> tuple[DataFrame, DataFrame, int]:
+    """Cells by sample position, case labels of all trials, and the number of samples; only case and ctrl samples take part."""
+    eligible = samples.where(F.col("PHENOTYPE").isin("case", "ctrl")).select("SAMPLE")
+    indexed = with_ordinal(eligible, "SAMPLE")
+    cell_value = F.when(value > 0, 1).otherwise(0) if carriers else value
+    cells = counts.join(indexed, "SAMPLE").select("ordinal", "code", cell_value.alias("value"))
+    n = size.cases + size.controls
+    if draw == "seeded":
+        return cells, seeded_labels(counts.sparkSession, n, size.cases, n_trials), n
+    if draw == "digest":
+        return cells, digest_labels(indexed, size.cases, n_trials), n
+    raise ValueError(f"unknown draw {draw!r}")
 
 
 def permuted_counts(
@@ -167,19 +211,9 @@ def permuted_counts(
 ) -> DataFrame:
     """Rounded case and control counts of every (trial, code) seen in ``counts``.
 
-    Only case and ctrl samples take part. Case and control totals are summed separately before rounding.
+    Case and control totals are summed separately before rounding.
     """
-    eligible = samples.where(F.col("PHENOTYPE").isin("case", "ctrl")).select("SAMPLE")
-    indexed = with_ordinal(eligible, "SAMPLE")
-    cell_value = F.when(value > 0, 1).otherwise(0) if carriers else value
-    cells = counts.join(indexed, "SAMPLE").select("ordinal", "code", cell_value.alias("value"))
-    n = size.cases + size.controls
-    if draw == "seeded":
-        labels = seeded_labels(counts.sparkSession, n, size.cases, n_trials)
-    elif draw == "digest":
-        labels = digest_labels(indexed, size.cases, n_trials)
-    else:
-        raise ValueError(f"unknown draw {draw!r}")
+    cells, labels, n = _drawn(counts, samples, size, n_trials, value, carriers, draw)
     totals = trial_totals(cells, labels, n, n_trials, n_codes)
     seen = counts.select("code").distinct()
     return totals.join(seen, "code", "left_semi").select(
@@ -194,6 +228,11 @@ def permuted_risk(trials: DataFrame, size: Cohort) -> DataFrame:
     return trials.withColumn("perm_rr", ratio)
 
 
+def _with_p(counted: DataFrame, n_trials: int) -> DataFrame:
+    p = F.when(~F.isnan("Relative_Risk"), (F.col("n_extreme") + 1) / F.lit(float(n_trials + 1)))
+    return counted.withColumn("P", p)
+
+
 def permutation_p(trials: DataFrame, observed: DataFrame, n_trials: int) -> DataFrame:
     """(#trials at least as extreme + 1) / (trials + 1); null where the observed risk is undefined.
 
@@ -204,10 +243,28 @@ def permutation_p(trials: DataFrame, observed: DataFrame, n_trials: int) -> Data
     extreme = usable & (((rr >= 1) & (perm >= rr)) | ((rr < 1) & (perm <= rr)))
     joined = trials.join(observed.select("code", "Relative_Risk"), "code")
     counted = joined.groupBy("code").agg(
-        F.first("Relative_Risk").alias("Relative_Risk"), F.count_if(extreme).alias("n_extreme")
+        F.first("Relative_Risk").alias("Relative_Risk"), F.count_if(~F.isnan(rr) & extreme).alias("n_extreme")
     )
-    p = F.when(~F.isnan(rr), (F.col("n_extreme") + 1) / F.lit(float(n_trials + 1)))
-    return counted.withColumn("P", p)
+    return _with_p(counted, n_trials)
+
+
+def tiled_p(
+    counts: DataFrame, samples: DataFrame, size: Cohort, observed: DataFrame, n_trials: int, n_codes: int, value: Column,
+    carriers: bool = False, draw: str = "seeded",
+) -> DataFrame:
+    """``permutation_p`` counted inside the tiles: one number per code and trial block is shuffled, no trial row."""
+    cells, labels, n = _drawn(counts, samples, size, n_trials, value, carriers, draw)
+    seen = observed.join(counts.select("code").distinct(), "code", "left_semi").select("code", "Relative_Risk")
+    wanted = seen.groupBy(F.floor(F.col("code") / CODE_BLOCK).alias("cb")).agg(
+        F.array_sort(F.collect_list(F.struct((F.col("code") % CODE_BLOCK).alias("col"), F.col("Relative_Risk").alias("risk")))).alias("_seen")
+    )  # at most CODE_BLOCK entries a row
+    wanted = wanted.select("cb", F.col("_seen.col").alias("cols"), F.col("_seen.risk").alias("risks"))
+    tiles = trial_tiles(cells, labels, n, n_trials, n_codes).join(wanted, "cb")
+    parts = _sorted_tiles(tiles, n_trials, n_codes).mapInPandas(
+        _add_tiles(_exceedances(n_trials, size.cases, size.controls)), "code bigint, n_extreme bigint"
+    )
+    counted = parts.groupBy("code").agg(F.sum("n_extreme").alias("n_extreme"))
+    return _with_p(seen.join(counted, "code").select("code", "Relative_Risk", "n_extreme"), n_trials)
 
 
 def two_stage_p(
@@ -222,22 +279,23 @@ def two_stage_p(
     draw: str = "seeded",
     cut: float = 0.01,
     factor: int = 10,
+    trials: DataFrame | None = None,
 ) -> DataFrame:
-    """Permutation P of all categories, refined with ``factor`` times the trials where P < ``cut``."""
-    first = permutation_p(
-        permuted_risk(permuted_counts(counts, samples, size, n_trials, n_codes, value, carriers, draw), size),
-        observed, n_trials,
-    )
+    """Permutation P of all categories, refined with ``factor`` times the trials where P < ``cut``.
+
+    ``trials`` are the counts of the first stage where ``permuted_counts`` has made them already.
+    """
+    if trials is None:
+        first = tiled_p(counts, samples, size, observed, n_trials, n_codes, value, carriers, draw)
+    else:
+        first = permutation_p(permuted_risk(trials, size), observed, n_trials)
     first = cut_lineage(first)  # one row per category; read twice below
     low = first.where(F.col("P") < cut).select("code")
     if low.isEmpty():
         return first.select("code", "Relative_Risk", "P", "n_extreme", F.lit(n_trials).alias("n_trials"))
     again = counts.join(low, "code", "left_semi")
     more = n_trials * factor
-    second = permutation_p(
-        permuted_risk(permuted_counts(again, samples, size, more, n_codes, value, carriers, draw), size),
-        observed, more,
-    ).select("code", F.col("P").alias("_refined"), F.col("n_extreme").alias("_n_extreme"))
+    second = tiled_p(again, samples, size, observed, more, n_codes, value, carriers, draw).select("code", F.col("P").alias("_refined"), F.col("n_extreme").alias("_n_extreme"))
     refined = F.col("_refined").isNotNull()
     return first.join(second, "code", "left").select(
         "code", "Relative_Risk",

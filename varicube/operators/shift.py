@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from varicube.domain import REGION_FLAGS, SHIFT_GROUPS, region_flags
 
+# The domains of the points, in the order of the legend.
+POINT_DOMAINS = (
+    "Coding (All)", "PTV", "Missense", "Coding w/o PTV", "Noncoding (All)", "Promoter", "Intron", "Intergenic", "5primeUTR", "3primeUTR",
+    "SpliceSite", "LincRNA", "CRE", "Others",
+)
+
 
 def category_sets(categories: DataFrame) -> DataFrame:
     """Long (category_set, code): region flags, single terms, and their pairwise combinations.
@@ -77,6 +83,43 @@ def top_sets(result: DataFrame, n: int) -> DataFrame:
     return shown.orderBy(F.col("P_case").asc(), F.col("N_cats_case").desc(), F.col("category_set").asc()).limit(n)
 
 
+def listed_sets(result: DataFrame, lines: DataFrame) -> DataFrame:
+    """Category sets of a list (column ``value``): ``A&B`` is the set of exactly these tokens in any order, else ``is_`` + name.
+
+    Blank lines, unknown names and repeated lines add nothing.
+    """
+    wanted = lines.select(F.trim("value").alias("value")).where("value != ''").distinct()
+    several = F.instr("value", "&") > 0
+    names = wanted.where(~several).select(F.concat(F.lit("is_"), "value").alias("category_set"))
+    # The sorted tokens are the join key, so the list may be of any length.
+    tokens = lambda text, mark: F.array_join(F.array_sort(F.split(text, mark)), "_")
+    keyed = result.select("category_set", tokens(F.regexp_replace("category_set", "is_", ""), "_").alias("tokens"))
+    matched = keyed.join(wanted.where(several).select(tokens(F.col("value"), "&").alias("tokens")), "tokens", "left_semi")
+    known = result.select("category_set").join(names, "category_set", "left_semi")
+    return known.unionByName(matched.select("category_set")).distinct()
+
+
+def labelled_points(points: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The points of the chosen sets with their domain, its place in the legend and -log10 P.
+
+    A P of 0 is drawn half a unit above the largest finite value of all points.
+    """
+    words = F.split("category_set", "_")
+    name = F.coalesce(F.try_element_at(words, F.lit(2)), F.lit(""))
+    name = F.when(F.lower(name) == "ptv", "PTV").otherwise(F.concat(F.upper(F.substring(name, 1, 1)), F.expr("substring(split(category_set, '_')[1], 2)")))
+    without_ptv = F.col("category_set").isin("is_coding_no_ptv", "is_coding_wo_ptv")
+    label = (
+        F.when(without_ptv, "Coding w/o PTV").when(name.isin("Coding", "Noncoding"), F.concat(name, F.lit(" (All)")))
+        .when(name == "Damaging", "Missense").when(name.isin(*POINT_DOMAINS), name).otherwise("Others")
+    )
+    scored = points.withColumn("domain", label).withColumn(
+        "domain_order", F.array_position(F.array(*map(F.lit, POINT_DOMAINS)), F.col("domain")) - 1
+    ).withColumn("neg_log10_p", F.when(F.col("P") > 0, -F.log10("P")))
+    most = scored.agg((F.max("neg_log10_p") + 0.5).alias("_most"))  # one row
+    shown = scored.join(chosen, "category_set", "left_semi").join(F.broadcast(most))
+    return shown.withColumn("neg_log10_p", F.when(F.col("P") == 0, F.col("_most")).otherwise(F.col("neg_log10_p"))).drop("_most")
+
+
 def figure_points(result: DataFrame) -> DataFrame:
     """One point per set and phenotype with its size class (odd numbers from 1)."""
     shown = result.where(~F.col("category_set").isin("All", "is_lincRNA_lincRNA"))

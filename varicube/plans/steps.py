@@ -87,10 +87,12 @@ def permutation_test(spark, counts_dir, samples_path, out_dir, factors_path=None
     counts, domain, people, value = _burden_inputs(spark, counts_dir, samples_path, factors_path)
     size = burden.cohort(people)
     table = cut_lineage(burden.burden_table(counts, people, size, value, carriers))
-    p = permutation.two_stage_p(counts, people, size, table, trials, domain.size, value, carriers)
+    rows = None
+    if burden_shift:  # the trials are wanted themselves: drawn and multiplied once, for both results
+        rows = cut_lineage(permutation.permuted_counts(counts, people, size, trials, domain.size, value, carriers))
+    p = permutation.two_stage_p(counts, people, size, table, trials, domain.size, value, carriers, trials=rows)
     _save_burden(table.join(p.select("code", "P"), "code"), counts, domain, value, carriers, out_dir)
-    if burden_shift:
-        rows = permutation.permuted_counts(counts, people, size, trials, domain.size, value, carriers)
+    if rows is not None:
         signed = permutation.signed_binomial(rows, size).select("trial", domain.key(F.col("code")).alias("Category"), "signed_p")
         signed.write.mode("overwrite").parquet(f"{out_dir}/binom_pvals")
 
@@ -170,7 +172,8 @@ def effective_num_test(
     return found
 
 
-def burden_shift(spark, burden_path, pvals_path, info_path, counts_path, domain, out_dir, cutoff=7, p_cut=0.05) -> None:
+def burden_shift(spark, burden_path, pvals_path, info_path, counts_path, domain, out_dir, cutoff=7, p_cut=0.05, sets_path=None, top=10) -> None:
+    """``sets_path`` lists the category sets to show, one a line (``coding``, or tokens in any order, ``A&B``); else the ``top`` sets are shown."""
     table = tables.with_codes(tables.read_table(spark, burden_path), domain)
     signed = tables.with_codes(spark.read.parquet(pvals_path), domain)
     raw = tables.with_codes(tables.read_table(spark, counts_path), domain)
@@ -178,7 +181,10 @@ def burden_shift(spark, burden_path, pvals_path, info_path, counts_path, domain,
     trials = signed.agg(F.max("trial")).first()[0] or 0
     result = cut_lineage(shift.burden_shift(sets, raw, table, signed, trials, cutoff, p_cut))
     tables.write_table(result, f"{out_dir}/burdenshift_p{p_cut}_cutoff{cutoff}")
-    tables.write_table(shift.figure_points(result), f"{out_dir}/burdenshift_points")
+    points = shift.figure_points(result)
+    tables.write_table(points, f"{out_dir}/burdenshift_points")
+    chosen = shift.listed_sets(result, spark.read.text(sets_path)) if sets_path else shift.top_sets(result, top).select("category_set")
+    tables.write_table(shift.labelled_points(points, chosen), f"{out_dir}/burdenshift_shown")
     tables.write_table(shift.trial_distribution(sets, raw, signed, cutoff, p_cut), f"{out_dir}/burdenshift_trials")
 
 
