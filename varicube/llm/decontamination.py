@@ -140,7 +140,7 @@ class Part:
             _, question, answer, q_words, a_words = self.items[place]
             wanted[min(SHINGLE, q_words)] |= question
             wanted[min(SHINGLE, a_words)] |= answer
-        there = {k: {s for s in zip(*[islice(ids, i, None) for i in range(k)]) if s in wanted[k]} for k in wanted}
+        there = {k: wanted[k].intersection(zip(*[islice(ids, i, None) for i in range(k)])) for k in wanted}
         for place, score in found.items():
             item_id, question, answer, q_words, a_words = self.items[place]
             sides = ((question, min(SHINGLE, q_words)), (answer, min(SHINGLE, a_words)))
