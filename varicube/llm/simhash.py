@@ -15,6 +15,7 @@ code, and a code links its fingerprints to one of them. Only true links arise, a
 
 Few bits tell only the nearest copies from the rest. ``first_of_each`` therefore takes a long fingerprint of ``tables``
 codes, whose complete distance estimates the similarity of the shingles (0.8 is about 15 % of the bits), in four steps.
+Slots with a single fingerprint are left out before them, slots of a single group before each.
 First the classes of code 0 are searched as above. Then every fingerprint is compared with the centres of its slots (its
 segment values in some codes), in rounds: a centre is an entry by chance at first, then the one with most links, which is
 the base of a group of near copies; both steps gather large groups in linear work. Third, every code is cut into
@@ -44,6 +45,7 @@ from pyspark.sql import functions as F
 
 from varicube.llm.common import checkpointed, fresh, slim_batches, utf8
 from varicube.llm.components import components
+from varicube.session import stored
 
 SHINGLE = 3
 RADIUS = 2
@@ -60,9 +62,8 @@ NEAR_TABLES = 32
 NEAR_SEGMENTS = 3
 NEAR_APART = 0.16
 NEAR_CODE = 16
-#: Codes whose slots gather large groups before pairs are formed, and the rounds of that.
-STAR_CODES = 8
-STAR_ROUNDS = 2
+#: Codes whose slots gather large groups before pairs are formed, by round.
+STAR_CODES = (1, 2, 5)
 
 #: Fixed values of the SplitMix64 generator, which turns one hash into one per code.
 STEP = 0x9E3779B97F4A7C15
@@ -147,14 +148,15 @@ def links(codes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, hot:
         sought.append(_slots(s, _around(value, ball(bits, reach[s]))))
     slot = ["table", "segment", "value"]
     filings = codes.select("table", "code", F.explode(F.array(*filed)).alias("at")).select("table", "code", "at.*")
-    filings = checkpointed(filings.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy(*slot))))
+    # Counted by an aggregate, which combines a crowded slot's rows before the shuffle; there are few such slots.
+    crowds = stored(filings.groupBy(*slot).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select(*slot))
     probes = codes.select("table", F.col("code").alias("a"), F.explode(F.concat(*sought)).alias("at")).select("table", "a", "at.*")
-    cold = filings.where(F.col("shared") <= hot).select(F.col("code").alias("b"), *slot)
+    cold = filings.join(crowds, slot, "left_anti").select(F.col("code").alias("b"), *slot)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     # A code within the reach of another has it within its own, so one direction is enough.
     found = probes.join(cold, slot).where((F.col("a") < F.col("b")) & near).select("table", "a", "b")
-    crowded = filings.where(F.col("shared") > hot)
-    outside = probes.join(crowded.select(*slot).distinct(), slot, "left_semi").select("table", F.col("a").alias("code"))
+    crowded = filings.join(crowds, slot, "left_semi")
+    outside = probes.join(crowds, slot, "left_semi").select("table", F.col("a").alias("code"))
     met = checkpointed(crowded.select("table", "code").union(outside).distinct())
     return found.distinct().union(_through_codes(met, radius))
 
@@ -200,44 +202,49 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, tables: int = 1, **search)
     return marked.join(table, "codes").select("doc_id", "codes", "component")
 
 
-def _entries(nodes: DataFrame, segments: int) -> DataFrame:
-    """(slot, root, node, code) for every segment of every code; a slot is the code's place, the segment and its value."""
+def _entries(tuples: DataFrame, segments: int) -> DataFrame:
+    """(slot, node, code) for every segment of every code; a slot is the code's place, the segment and its value."""
     width = -(-BITS // segments)
     at = []
     for s in range(segments):
         value = F.shiftrightunsigned("code", s * width).bitwiseAND(F.lit((1 << min(width, BITS - s * width)) - 1).cast("bigint"))
         at.append(F.shiftleft((F.col("table") * segments + s).cast("bigint"), width).bitwiseOR(value))
-    codes = nodes.select("root", "node", F.posexplode("codes").alias("table", "code"))
-    return codes.select(F.explode(F.array(*at)).alias("slot"), "root", "node", "code")
+    codes = tuples.select("node", F.posexplode("codes").alias("table", "code"))
+    return codes.select(F.explode(F.array(*at)).alias("slot"), "node", "code")
 
 
-def _filed(nodes: DataFrame, degrees: DataFrame, segments: int) -> DataFrame:
-    """Entries of ``nodes`` (codes, node, root); a root with several nodes has one entry in a slot, that with most links."""
-    several = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
-    lone = _entries(nodes.join(several, "root", "left_anti"), segments)
-    members = _entries(nodes.join(several, "root", "left_semi"), segments).join(degrees, "node", "left")
-    linked = F.coalesce("degree", F.lit(0).cast("bigint")).alias("degree")
-    grouped = members.groupBy("slot", "root").agg(F.max(F.struct(linked, "node", "code")).alias("entry"))
-    return lone.unionByName(grouped.select("slot", "root", "entry.node", "entry.code"))
+def _shared(tuples: DataFrame, segments: int) -> DataFrame:
+    """The entries of slots that several nodes share. Most slots hold one node and can link nothing, so only a count of
+    them is shuffled; what is left serves every later step."""
+    entries = _entries(tuples, segments)
+    slots = stored(entries.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("slot"))
+    return stored(entries.join(slots, "slot", "left_semi"))
+
 
+def _crossing(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """(slot, root, node, code) of the slots in which several roots meet."""
+    rooted = entries.join(roots, "node").select("slot", "root", "node", "code")
+    slots = stored(rooted.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("slot"))
+    return stored(rooted.join(slots, "slot", "left_semi"))
 
-def _side(filed: DataFrame, side: str) -> DataFrame:
-    return filed.select("slot", *(F.col(c).alias(f"{c}_{side}") for c in ("root", "node", "code")))
 
+def _side(entries: DataFrame, side: str) -> DataFrame:
+    return entries.select("slot", *(F.col(c).alias(f"{c}_{side}") for c in ("root", "node", "code")))
 
-def _near(nodes: DataFrame, pairs: DataFrame, apart: float) -> DataFrame:
+
+def _near(tuples: DataFrame, pairs: DataFrame, apart: float) -> DataFrame:
     """The ``pairs`` (root_a, root_b, node_a, node_b) that are near on all bits."""
     for side in "ab":
-        pairs = pairs.join(nodes.select(F.col("node").alias(f"node_{side}"), F.col("codes").alias(f"codes_{side}")), f"node_{side}")
+        pairs = pairs.join(tuples.select(F.col("node").alias(f"node_{side}"), F.col("codes").alias(f"codes_{side}")), f"node_{side}")
     differing = F.zip_with("codes_a", "codes_b", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
     near = F.aggregate(differing, F.lit(0), lambda total, bits: total + bits) <= apart * BITS * F.size("codes_a")
-    return pairs.where(near).select("root_a", "root_b", "node_a", "node_b")
+    return stored(pairs.where(near).select("root_a", "root_b", "node_a", "node_b"))
 
 
-def _merged(nodes: DataFrame, near: DataFrame) -> DataFrame:
-    """``nodes`` with the roots joined that ``near`` (root_a, root_b) links."""
+def _merged(roots: DataFrame, near: DataFrame) -> DataFrame:
+    """``roots`` (node, root) with those joined that ``near`` (root_a, root_b) links."""
     joined = components(near, "root_a", "root_b").select(F.col("node").alias("member"), F.col("root").alias("merged"))
-    return nodes.join(joined, F.col("root") == F.col("member"), "left").select("codes", "node", F.coalesce("merged", "root").alias("root"))
+    return stored(roots.join(joined, F.col("root") == F.col("member"), "left").select("node", F.coalesce("merged", "root").alias("root")))
 
 
 def _close_pairs(a: DataFrame, b: DataFrame, different: Column) -> DataFrame:
@@ -247,30 +254,41 @@ def _close_pairs(a: DataFrame, b: DataFrame, different: Column) -> DataFrame:
     return met.select("root_a", "root_b", "node_a", "node_b").distinct()
 
 
-def _gathered(nodes: DataFrame, segments: int, apart: float) -> tuple[DataFrame, DataFrame]:
-    """``nodes`` after rounds in which every entry meets the centre of its slot, an entry by chance, then the one with most
-    links; and (node, degree), the links found."""
-    degrees = None
-    for _ in range(STAR_ROUNDS):
-        entries = _entries(nodes.withColumn("codes", F.slice("codes", 1, STAR_CODES)), segments)
+def _gathered(tuples: DataFrame, shared: DataFrame, roots: DataFrame, segments: int, apart: float) -> tuple[DataFrame, DataFrame]:
+    """``roots`` after rounds in which every entry meets the centre of its slot, an entry by chance, then the one with most
+    links; and (node, degree), the links found. A round takes further codes, and only slots whose roots still differ."""
+    width = -(-BITS // segments)
+    degrees, done = None, 0
+    for codes in STAR_CODES:
+        low, high = (n * segments << width for n in (done, done + codes))
+        done += codes
+        entries = _crossing(shared.where((F.col("slot") >= low) & (F.col("slot") < high)), roots)
         ranked = entries.withColumn("rank", F.xxhash64("slot", "node"))
         if degrees is not None:
             ranked = ranked.join(degrees, "node", "left").withColumn("rank", F.coalesce("degree", F.lit(0).cast("bigint")))
         best = F.max(F.struct("rank", "node", "root", "code")).alias("centre")
-        centres = ranked.groupBy("slot").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1").select("slot", "centre.*")
-        near = checkpointed(_near(nodes, _close_pairs(_side(entries, "a"), _side(centres, "b"), F.col("root_a") != F.col("root_b")), apart))
+        centres = stored(ranked.groupBy("slot").agg(best).select("slot", "centre.*"))
+        near = _near(tuples, _close_pairs(_side(entries, "a"), _side(centres, "b"), F.col("root_a") != F.col("root_b")), apart)
         ends = near.select(F.col("node_a").alias("node")).union(near.select("node_b")).withColumn("degree", F.lit(1).cast("bigint"))
         degrees = ends if degrees is None else ends.union(degrees)
-        degrees = checkpointed(degrees.groupBy("node").agg(F.sum("degree").alias("degree")))
-        nodes = checkpointed(_merged(nodes, near))
-    return nodes, degrees
+        degrees = stored(degrees.groupBy("node").agg(F.sum("degree").alias("degree")))
+        roots = _merged(roots, near)
+    return roots, degrees
 
 
-def _members_pairs(nodes: DataFrame, segments: int) -> DataFrame:
+def _heads_pairs(entries: DataFrame, degrees: DataFrame) -> DataFrame:
+    """Candidates of different roots; a root with several nodes in a slot has one entry there, that with most links."""
+    linked = F.coalesce("degree", F.lit(0).cast("bigint")).alias("degree")
+    heads = entries.join(degrees, "node", "left").groupBy("slot", "root").agg(F.max(F.struct(linked, "node", "code")).alias("entry"))
+    heads = stored(heads.select("slot", "root", "entry.node", "entry.code"))
+    return _close_pairs(_side(heads, "a"), _side(heads, "b"), F.col("root_a") < F.col("root_b"))
+
+
+def _members_pairs(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """Candidates of every member of a root with several nodes: with lone nodes, and with the members of other such roots."""
-    several = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
-    members = checkpointed(_entries(nodes.join(several, "root", "left_semi"), segments))
-    lone = _entries(nodes.join(several, "root", "left_anti"), segments)
+    several = stored(roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root"))
+    members = stored(entries.join(several, "root", "left_semi").select("slot", "root", "node", "code"))
+    lone = entries.join(several, "root", "left_anti")
     with_lone = _close_pairs(_side(members, "a"), _side(lone, "b"), F.lit(True))
     # The roots of a slot are paired before their members are, so no two members of one root are ever compared.
     heads = members.select("slot", "root").distinct()
@@ -283,17 +301,21 @@ def _members_pairs(nodes: DataFrame, segments: int) -> DataFrame:
 
 def _near_groups(marked: DataFrame, segments: int, apart: float) -> DataFrame:
     """Like ``_groups``, for long fingerprints: those of one code-0 group or at most the share ``apart`` of bits away."""
-    tuples = checkpointed(marked.groupBy("codes").agg(F.min("row").alias("node")))
+    tuples = stored(marked.groupBy("codes").agg(F.min("row").alias("node")))
     tight = _groups(tuples.select(F.slice("codes", 1, 1).alias("codes"), F.col("node").alias("row")))
     tight = tight.select(F.element_at("codes", 1).alias("code"), "root")
-    nodes = checkpointed(tuples.withColumn("code", F.element_at("codes", 1)).join(tight, "code").select("codes", "node", "root"))
+    first = tuples.select("node", F.element_at("codes", 1).alias("code"))
+    roots = stored(first.join(tight, "code").select("node", "root"))
 
     # Large groups first, so that few pairs are left between groups.
-    nodes, degrees = _gathered(nodes, segments, apart)
-    filed = _filed(nodes, degrees, segments)
-    pairs = _close_pairs(_side(filed, "a"), _side(filed, "b"), F.col("root_a") < F.col("root_b"))
-    nodes = checkpointed(_merged(nodes, _near(nodes, pairs, apart)))
-    return _merged(nodes, _near(nodes, _members_pairs(nodes, segments), apart)).select("codes", "root")
+    shared = _shared(tuples, segments)
+    roots, degrees = _gathered(tuples, shared, roots, segments, apart)
+    # Roots only grow together, so the slots in which they meet become fewer.
+    entries = _crossing(shared, roots)
+    roots = _merged(roots, _near(tuples, _heads_pairs(entries, degrees), apart))
+    entries = _crossing(entries.drop("root"), roots)
+    roots = _merged(roots, _near(tuples, _members_pairs(entries, roots), apart))
+    return tuples.join(roots, "node").select("codes", "root")
 
 
 def first_of_each(
