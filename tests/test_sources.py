@@ -148,3 +148,11 @@ def test_swap_keeps_the_case_number(spark):
 def test_command_line_refuses(argv, capsys):
     with pytest.raises(SystemExit):
         cli.main(argv)
+
+
+def test_leading_vector_refuses_an_undefined_correlation():
+    block = np.full((40, 40), 0.5)
+    block[3, 7] = np.nan
+    for bound in (None, 2.4):
+        with pytest.raises(ValueError):
+            netfit.leading_vector(block, bound)
