@@ -12,10 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1024
+#: Categories up to which a task keeps all cells at once (32 MB), and rows it multiplies at once.
+WHOLE_CODES = 2048
+ROWS_AT_ONCE = 4096
 CELLS = "code_i bigint, code_j bigint, n double"
 
 
@@ -53,18 +57,40 @@ def _block_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _emit(current, total)
 
 
+def _whole_products(n_codes: int):
+    """All cells of the rows a task holds; only columns that occur in a batch are multiplied."""
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n_codes, n_codes))
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                lists, w = part.column("codes"), part.column("w").to_numpy()
+                owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                present, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+                # Sums of at most ROWS_AT_ONCE ones are exact in single precision.
+                dense = np.zeros((len(lists), len(present)), dtype=np.float32 if (w == 1.0).all() else np.float64)
+                dense[owner, place] = 1.0
+                right = dense if dense.dtype == np.float32 else dense * w[:, None]
+                total[np.ix_(present, present)] += dense.T @ right
+        i, j = np.nonzero(total)
+        kept = i // BLOCK <= j // BLOCK  # as the block products
+        i, j = i[kept], j[kept]
+        yield pa.record_batch([pa.array(i), pa.array(j), pa.array(total[i, j])], ["code_i", "code_j", "n"])
+
+    return multiply
+
+
 def co_occurrence(rows: DataFrame, n_codes: int, weight: str | None = None, salt: str | None = None) -> DataFrame:
     """Weighted number of units holding both categories: (code_i, code_j, n) with code_i <= code_j blocks.
 
     ``rows`` has ``codes`` (array of category codes) and optionally ``weight``. ``salt`` names a column whose
-    hash spreads one block pair over tasks; it is needed only when the codes span several blocks.
+    hash spreads one block pair over tasks; it is needed only above ``WHOLE_CODES`` codes.
     """
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    if n_codes <= BLOCK:
-        # A single block: every task multiplies the rows it already holds.
-        blocks = rows.select(
-            F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.col("codes").alias("left"), F.col("codes").alias("right"), w.alias("w")
-        )
+    if n_codes <= WHOLE_CODES:
+        # Every task multiplies the rows it already holds.
+        partial = rows.select(F.col("codes").cast("array<bigint>"), w.alias("w")).mapInArrow(_whole_products(n_codes), CELLS)
     else:
         numbers = F.transform("codes", lambda c: F.floor(c / F.lit(BLOCK)))
         split = rows.withColumn(
@@ -91,7 +117,7 @@ def co_occurrence(rows: DataFrame, n_codes: int, weight: str | None = None, salt
             .sortWithinPartitions("bi", "bj")
             .select("bi", "bj", "left", "right", "w")
         )
-    partial = blocks.mapInPandas(_block_products, CELLS)
+        partial = blocks.mapInPandas(_block_products, CELLS)
     return partial.groupBy("code_i", "code_j").agg(F.sum("n").cast("bigint").alias("n"))
 
 
