@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varicube.domain import CategoryDomain
+from varicube.functions import annotate
 from varicube.operators import cube, gram, grid, keys, permutation
 
 DOMAIN = CategoryDomain(("Risk", "lincRNA"), ("score",), ("enhancer",))
@@ -102,3 +103,44 @@ def test_only_the_bucket_of_the_cut_is_ranked(spark):
     got = {(r["s"], r["name"]) for r in drawn.collect()}
     ranked = rows.selectExpr("s", "name", "row_number() over (partition by s order by md5(name), name) r").where("r <= 500")
     assert got == {(r["s"], r["name"]) for r in ranked.collect()} and "Union" in plan_of(drawn)
+
+
+def test_sums_from_sample_rows_that_carry_labels(spark):
+    labels = F.when(F.col("SAMPLE") == "hot", 2).when(F.col("SAMPLE").isNull(), 0).otherwise(1).cast("bigint")
+    rows = cube.sample_rows(termed(spark).withColumn("cases", labels), DOMAIN, also=("cases",)).repartition(3)
+    found = {r["code"]: (r["n"], r["cases"]) for r in cube.code_sums(rows, DOMAIN.size, "cases").collect()}
+    want = {}
+    for (sample, code), n in expected(termed(spark)).items():
+        times = 2 if sample == "hot" else 0 if sample is None else 1
+        want[code] = tuple(a + b for a, b in zip(want.get(code, (0, 0)), (n, n * times)))
+    assert found == want
+    assert cube.code_sums(rows.limit(0), DOMAIN.size, "cases").count() == 0
+
+
+def test_texts_of_variants_do_not_travel_to_their_genes(spark):
+    words = [*(w for _, group in annotate.NONCODING_ORDER for w in group), "stop_gained", "frameshift_variant", "missense_variant", "inframe_deletion", "synonymous_variant", "stop_retained_variant", "other", None]
+    lof = [("HC", ""), ("HC", "X"), ("LC", ""), (None, None)]
+    variants = spark.createDataFrame(
+        [("A" * (1 + i % 2), "G", w, f"G{g}", f"G{g}", a, b, s, i % 4) for i, (w, (a, b), s, g) in enumerate(
+            (w, l, s, g) for w in words for l in lof for s in ("7", "2&3", "NA", "", None) for g in range(4)
+        )],
+        "REF string, ALT string, Consequence string, SYMBOL string, NEAREST string, LoF string, LoF_flags string, score string, ANNOT bigint",
+    )
+    genes = spark.createDataFrame([("G0", ["ProteinCoding", "Risk"]), ("G1", ["lincRNA"]), ("G2", [])], "gene_name string, gene_sets array<string>")
+    shaped = annotate.with_terms(annotate.with_gene_sets(annotate.with_shape(variants, "score", 5.0), genes), DOMAIN, "score", 5.0)
+    late = annotate.with_terms(annotate.with_gene_sets(variants, genes), DOMAIN, "score", 5.0)
+    assert sorted(map(str, shaped.collect())) == sorted(map(str, late.collect()))
+    plan = plan_of(shaped.select(*cube.TERM_ARRAYS).hint("merge")).splitlines()
+    join, shape = (next(i for i, line in enumerate(plan) if text in line) for text in ("Join", "AS shape"))
+    assert join < shape
+    # A variant of each kind, its terms written down.
+    by = {(r["Consequence"], r["LoF"], r["LoF_flags"], r["score"], r["effective_gene"]): r["gc"] for r in shaped.collect()}
+    assert by["stop_gained", "HC", "", "7", "G0"] == ["Any", "CodingRegion", "PTVRegion"]
+    assert by["stop_gained", "LC", "", "7", "G0"] == ["Any", "CodingRegion"]
+    assert by["frameshift_variant", "HC", "", "7", "G0"] == ["Any", "CodingRegion", "FrameshiftRegion", "PTVRegion"]
+    assert by["missense_variant", "LC", "", "7", "G0"] == ["Any", "CodingRegion", "DamagingMissenseRegion", "MissenseRegion"]
+    assert by["missense_variant", "LC", "", "2&3", "G0"] == ["Any", "CodingRegion", "MissenseRegion"]
+    assert by["intron_variant", "HC", "", "NA", "G0"] == ["Any", "NoncodingRegion", "IntronRegion"]
+    assert by["other", "HC", "", "NA", "G0"] == ["Any", "NoncodingRegion"]
+    assert by["missense_variant", "HC", "", "NA", "G1"] == ["Any", "NoncodingRegion", "lincRnaRegion"]
+    assert by[None, None, None, None, "G3"] == ["Any", "NoncodingRegion", "OtherTranscriptRegion"]
