@@ -1,5 +1,6 @@
 """Plans and kernels whose cost must follow the samples and signatures, not the category rows."""
 
+import hashlib
 import io
 from contextlib import redirect_stdout
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from varicube.domain import CategoryDomain
 from varicube.functions import annotate
-from varicube.operators import cube, gram, grid, keys, permutation
+from varicube.operators import burden, cube, gram, grid, keys, permutation
 
 DOMAIN = CategoryDomain(("Risk", "lincRNA"), ("score",), ("enhancer",))
 
@@ -144,3 +145,45 @@ def test_texts_of_variants_do_not_travel_to_their_genes(spark):
     assert by["other", "HC", "", "NA", "G0"] == ["Any", "NoncodingRegion"]
     assert by["missense_variant", "HC", "", "NA", "G1"] == ["Any", "NoncodingRegion", "lincRnaRegion"]
     assert by[None, None, None, None, "G3"] == ["Any", "NoncodingRegion", "OtherTranscriptRegion"]
+
+
+@pytest.mark.parametrize("carriers", [False, True])
+def test_few_trials_are_added_up_where_the_samples_lie(spark, carriers):
+    """The samples with the smallest digests are the cases; a sample that is listed twice can be drawn once or twice."""
+    names = [f"s{i:02d}" for i in range(30)] + ["s03", "s04"]
+    people = spark.createDataFrame([(n, "case" if i % 3 else "ctrl") for i, n in enumerate(names)] + [("none", "unknown")], "SAMPLE string, PHENOTYPE string")
+    own = {n: {c: (i * c) % 5 + 1 for c in (0, 7, 300) if (i + c) % 3} for i, n in enumerate(names[:30])} | {"none": {0: 9, 600: 1}}
+    counts = spark.createDataFrame([(n, c, v) for n, cells in own.items() for c, v in cells.items()], "SAMPLE string, code bigint, n bigint")
+    rows = spark.createDataFrame([(n, list(cells), list(cells.values())) for n, cells in own.items()], "SAMPLE string, codes array<bigint>, counts array<bigint>").repartition(5)
+    size = burden.cohort(people)
+    made = permutation.permuted_counts(counts, people, size, 12, 700, F.col("n"), carriers, "digest", rows)
+    assert "CoGroup" not in plan_of(made)
+    want = {}
+    for trial in range(1, 13):
+        ranked = sorted(names, key=lambda n: (hashlib.md5(f"{trial}|{n}".encode()).hexdigest(), n))
+        for code in (0, 7, 300):
+            value = [min(1, own[n].get(code, 0)) if carriers else own[n].get(code, 0) for n in ranked]
+            want[trial, code] = (sum(value[:size.cases]), sum(value[size.cases:]))
+    assert {(r["trial"], r["code"]): (r["case_n"], r["ctrl_n"]) for r in made.collect()} == want
+
+
+def test_few_trials_and_tiles_agree(spark, monkeypatch):
+    counts = spark.createDataFrame([(f"s{i}", (i * k) % 260, i % 4) for i in range(50) for k in (1, 3, 7) if i], "SAMPLE string, code bigint, n bigint").distinct().groupBy("SAMPLE", "code").agg(F.max("n").alias("n"))
+    people = spark.createDataFrame([(f"s{i}", "case" if i % 4 else "ctrl") for i in range(50)], "SAMPLE string, PHENOTYPE string")
+    size = burden.cohort(people)
+    for draw in ("seeded", "digest"):
+        results = []
+        for most in (permutation.WHOLE_CELLS, 0):
+            monkeypatch.setattr(permutation, "WHOLE_CELLS", most)
+            results.append(sorted(permutation.permuted_counts(counts, people, size, 9, 260, F.col("n"), draw=draw).collect()))
+        assert results[0] == results[1] and len(results[0])
+        monkeypatch.undo()
+
+
+def test_draws_of_none_and_of_all(spark):
+    rows = spark.range(40).select((F.col("id") % 2).alias("s"), F.col("id").cast("string").alias("name"))
+    last = lambda take: {r["s"]: r["name"] for r in keys.last_drawn(rows, ["s"], F.md5("name"), ["name"], take).collect()}
+    order = {s: sorted((str(i) for i in range(s, 40, 2)), key=lambda n: hashlib.md5(n.encode()).hexdigest()) for s in (0, 1)}
+    assert last(0) == {} and last(21) == {}
+    for take in (1, 7, 20):
+        assert last(take) == {s: names[take - 1] for s, names in order.items()}
