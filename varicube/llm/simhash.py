@@ -34,6 +34,7 @@ component, and ``first_of_each`` keeps one of them; an empty table gives an empt
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -62,6 +63,11 @@ NEAR_TABLES = 32
 NEAR_SEGMENTS = 3
 NEAR_APART = 0.16
 NEAR_CODE = 16
+#: Distinct fingerprints up to which slots are the segments of a code; beyond, how many more windows than segments a code
+#: has, and how many times more for each bit that they are wider. Pairs 16 % apart are found as often with them.
+FEW = 1 << 15
+MORE = 1.2
+MORE_A_BIT = 1.22
 #: Codes whose slots gather large groups before pairs are formed, by round.
 STAR_CODES = (1, 2, 5)
 
@@ -202,29 +208,51 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, tables: int = 1, **search)
     return marked.join(table, "codes").select("doc_id", "codes", "component")
 
 
-def _entries(tuples: DataFrame, segments: int) -> DataFrame:
-    """(slot, node, code) for every segment of every code; a slot is the code's place, the segment and its value."""
-    width = -(-BITS // segments)
+def _windows(nodes: int, tables: int, segments: int) -> tuple[int, list[list[tuple[int, int, int]]]]:
+    """Width of a slot's value and the windows of each code: parts (codes further on, lowest bit, bits) of their values.
+
+    Up to ``FEW`` nodes: every code's segments. Each doubling beyond makes values a bit wider, and more windows make up for
+    it, so a node meets about as many others by chance; a window is then some bits of one code with some of another.
+    """
+    wider = max(0, math.ceil(math.log2(max(nodes, 1) / FEW)))
+    width = -(-BITS // segments) + wider
+    if not wider:
+        return width, [[(0, s * width, min(width, BITS - s * width))] for s in range(segments)]
+    low, high = width // 2, width - width // 2
+    n = math.ceil(MORE * segments * MORE_A_BIT**wider)
+    starts = [i * (BITS - low) // (n - 1) for i in range(n)]
+    return width, [
+        [(0, start, low), (1 + i % max(1, tables - 1), (start + 17 * (i + 1)) % (BITS - high + 1), high)] for i, start in enumerate(starts)
+    ]
+
+
+def _entries(tuples: DataFrame, tables: int, width: int, windows: list[list[tuple[int, int, int]]]) -> DataFrame:
+    """(slot, node, code) for every window of every code; a slot is the code's place, the window and its value."""
     at = []
-    for s in range(segments):
-        value = F.shiftrightunsigned("code", s * width).bitwiseAND(F.lit((1 << min(width, BITS - s * width)) - 1).cast("bigint"))
-        at.append(F.shiftleft((F.col("table") * segments + s).cast("bigint"), width).bitwiseOR(value))
-    codes = tuples.select("node", F.posexplode("codes").alias("table", "code"))
+    for number, parts in enumerate(windows):
+        slot, place = F.shiftleft((F.col("table") * len(windows) + number).cast("bigint"), width), 0
+        for further, start, bits in parts:
+            code = F.get("codes", (F.col("table") + further) % tables) if further else F.col("code")
+            value = F.shiftrightunsigned(code, start).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+            slot, place = slot.bitwiseOR(F.shiftleft(value, place)), place + bits
+        at.append(slot)
+    codes = tuples.select("node", "codes", F.posexplode("codes").alias("table", "code"))
     return codes.select(F.explode(F.array(*at)).alias("slot"), "node", "code")
 
 
-def _shared(tuples: DataFrame, segments: int) -> DataFrame:
+def _shared(tuples: DataFrame, *places) -> DataFrame:
     """The entries of slots that several nodes share. Most slots hold one node and can link nothing, so only a count of
     them is shuffled; what is left serves every later step."""
-    entries = _entries(tuples, segments)
+    entries = _entries(tuples, *places)
     slots = stored(entries.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("slot"))
     return stored(entries.join(slots, "slot", "left_semi"))
 
 
-def _crossing(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """(slot, root, node, code) of the slots in which several roots meet."""
-    rooted = entries.join(roots, "node").select("slot", "root", "node", "code")
-    slots = stored(rooted.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("slot"))
+def _crossing(entries: DataFrame, roots: DataFrame, needed: str = "low < high") -> DataFrame:
+    """(slot, root, node, code) and further columns of ``roots``, of the slots in which several roots meet."""
+    rooted = entries.join(roots, "node").select("slot", "node", "code", *(c for c in roots.columns if c != "node"))
+    ends = [F.min("root").alias("low"), F.max("root").alias("high"), *(F.max(c).alias(c) for c in roots.columns if c == "several")]
+    slots = stored(rooted.groupBy("slot").agg(*ends).where(needed).select("slot"))
     return stored(rooted.join(slots, "slot", "left_semi"))
 
 
@@ -254,13 +282,12 @@ def _close_pairs(a: DataFrame, b: DataFrame, different: Column) -> DataFrame:
     return met.select("root_a", "root_b", "node_a", "node_b").distinct()
 
 
-def _gathered(tuples: DataFrame, shared: DataFrame, roots: DataFrame, segments: int, apart: float) -> tuple[DataFrame, DataFrame]:
+def _gathered(tuples: DataFrame, shared: DataFrame, roots: DataFrame, width: int, each: int, apart: float) -> tuple[DataFrame, DataFrame]:
     """``roots`` after rounds in which every entry meets the centre of its slot, an entry by chance, then the one with most
     links; and (node, degree), the links found. A round takes further codes, and only slots whose roots still differ."""
-    width = -(-BITS // segments)
     degrees, done = None, 0
     for codes in STAR_CODES:
-        low, high = (n * segments << width for n in (done, done + codes))
+        low, high = (n * each << width for n in (done, done + codes))
         done += codes
         entries = _crossing(shared.where((F.col("slot") >= low) & (F.col("slot") < high)), roots)
         ranked = entries.withColumn("rank", F.xxhash64("slot", "node"))
@@ -286,9 +313,10 @@ def _heads_pairs(entries: DataFrame, degrees: DataFrame) -> DataFrame:
 
 def _members_pairs(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """Candidates of every member of a root with several nodes: with lone nodes, and with the members of other such roots."""
-    several = stored(roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root"))
-    members = stored(entries.join(several, "root", "left_semi").select("slot", "root", "node", "code"))
-    lone = entries.join(several, "root", "left_anti")
+    several = roots.groupBy("root").agg((F.count(F.lit(1)) > 1).alias("several"))
+    # Lone nodes have met in the step before, so slots without a member of a larger root are left out.
+    entries = _crossing(entries, stored(roots.join(several, "root")), "low < high and several")
+    members, lone = entries.where("several"), entries.where("not several")
     with_lone = _close_pairs(_side(members, "a"), _side(lone, "b"), F.lit(True))
     # The roots of a slot are paired before their members are, so no two members of one root are ever compared.
     heads = members.select("slot", "root").distinct()
@@ -308,13 +336,14 @@ def _near_groups(marked: DataFrame, segments: int, apart: float) -> DataFrame:
     roots = stored(first.join(tight, "code").select("node", "root"))
 
     # Large groups first, so that few pairs are left between groups.
-    shared = _shared(tuples, segments)
-    roots, degrees = _gathered(tuples, shared, roots, segments, apart)
+    tables = tuples.select(F.max(F.size("codes"))).first()[0] or 1
+    width, windows = _windows(tuples.count(), tables, segments)
+    shared = _shared(tuples, tables, width, windows)
+    roots, degrees = _gathered(tuples, shared, roots, width, len(windows), apart)
     # Roots only grow together, so the slots in which they meet become fewer.
     entries = _crossing(shared, roots)
     roots = _merged(roots, _near(tuples, _heads_pairs(entries, degrees), apart))
-    entries = _crossing(entries.drop("root"), roots)
-    roots = _merged(roots, _near(tuples, _members_pairs(entries, roots), apart))
+    roots = _merged(roots, _near(tuples, _members_pairs(entries.drop("root"), roots), apart))
     return tuples.join(roots, "node").select("codes", "root")
 
 
