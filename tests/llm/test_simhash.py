@@ -175,3 +175,67 @@ def test_long_text_in_pieces(monkeypatch):
     monkeypatch.setattr(simhash, "AT_ONCE", 100)
     assert simhash.fingerprint(text.encode()) == whole == [brute_fingerprint(text)]
     assert simhash.fingerprint(text.encode(), 5, 2) == [brute_fingerprint(text, 5, t) for t in range(2)]
+
+
+def test_chance_meetings_grow_about_as_the_input(spark):
+    """Unrelated codes, five times as many: entries of shared slots grew 25 times with slots of fixed width."""
+    from pyspark.sql import functions as F
+
+    def met(n):
+        codes = F.array(*[F.xxhash64("id", F.lit(t)) for t in range(4)])
+        tuples = spark.range(n).select(F.col("id").alias("node"), codes.alias("codes"))
+        return simhash._shared(tuples, 4, *simhash._windows(n, 4, 3)).count()
+
+    few, many = met(40_000), met(200_000)
+    assert 2_000 < few and many < 12 * few
+
+
+@pytest.mark.parametrize("wider", [2, 9])
+def test_wider_windows_find_as_many(wider):
+    """Of pairs 15 % of the bits apart, windows of any width leave out fewer than segments do; values fit a slot."""
+    width, windows = simhash._windows(simhash.FEW << wider, 32, 3)
+    assert width == 22 + wider and all(sum(bits for _, _, bits in parts) == width for parts in windows)
+    assert all(0 <= start and start + bits <= 64 for parts in windows for _, start, bits in parts)
+    assert (32 * len(windows) << width) < 2**63
+    rng = np.random.default_rng(3)
+    found = 0
+    for _ in range(1000):
+        differing = np.zeros(2048, dtype=bool)
+        differing[rng.choice(2048, 2048 * 15 // 100, replace=False)] = True
+        differing = differing.reshape(32, 64)
+        fine = differing.sum(axis=1) <= simhash.NEAR_CODE
+        same = [~np.any([np.roll(differing, -d, axis=0)[:, s : s + n].any(axis=1) for d, s, n in parts], axis=0) for parts in windows]
+        found += bool((np.any(same, axis=0) & fine).any())
+    assert 940 < found < 1000
+
+
+def test_wider_windows_link_near_pairs(spark, monkeypatch):
+    """The same slots by the query's own steps: few texts count as many, so that slots are 29 bits wide."""
+    rng = random.Random(9)
+    codes = []
+    for _ in range(200):
+        base = rng.getrandbits(2048)
+        other = base ^ sum(1 << b for b in rng.sample(range(2048), 2048 * 15 // 100))
+        codes += [np.frombuffer(code.to_bytes(256, "little"), dtype="<i8").tolist() for code in (base, other)]
+    monkeypatch.setattr(simhash, "FEW", 4)
+    marked = spark.createDataFrame(list(enumerate(codes)), "row long, codes array<long>")
+    roots = {tuple(r["codes"]): r["root"] for r in simhash._near_groups(marked, 3, 0.16).collect()}
+    found = sum(roots[tuple(codes[i])] == roots[tuple(codes[i + 1])] for i in range(0, 400, 2))
+    assert 180 <= found and len(set(roots.values())) == 400 - found
+
+
+@pytest.mark.parametrize("at_once", [1 << 18, 20])
+def test_components_in_one_part_and_several(spark, monkeypatch, at_once):
+    from varicube.llm import components as module
+
+    rng = random.Random(2)
+    links = [(i, i + 1) for i in range(40)] + [(rng.randrange(50, 400), rng.randrange(50, 400)) for _ in range(150)] + [(7, 7), (3, 3)]
+    label = {n: n for pair in links[:-2] for n in pair if pair[0] != pair[1]}
+    for _ in range(len(label)):
+        for a, b in links[:-2]:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    monkeypatch.setattr(module, "AT_ONCE", at_once)
+    frame = spark.createDataFrame(links, "a long, b long").repartition(12)
+    assert {r["node"]: r["root"] for r in module.components(frame, "a", "b").collect()} == label
+    assert module.components(frame.where("a = b"), "a", "b").count() == 0
