@@ -15,6 +15,7 @@ code, and a code links its fingerprints to one of them. Only true links arise, a
 
 Few bits tell only the nearest copies from the rest. ``first_of_each`` therefore takes a long fingerprint of ``tables``
 codes, whose complete distance estimates the similarity of the shingles (0.8 is about 15 % of the bits), in four steps.
+With many fingerprints, wider windows of two codes take the place of the segments (see ``_windows``).
 Slots with a single fingerprint are left out before them, slots of a single group before each.
 First the classes of code 0 are searched as above. Then every fingerprint is compared with the centres of its slots (its
 segment values in some codes), in rounds: a centre is an entry by chance at first, then the one with most links, which is
