@@ -24,7 +24,7 @@ segments, balls of radius zero: pairs of different groups that agree in any segm
 complete distance is at most the share ``apart`` of all bits are linked; a group with several members has one entry per
 segment value here. Last, all members of such groups meet the other groups' members in each slot, so a pair that the
 entry for a group does not show is found too; nothing is capped. Pairs of one group are never formed then, those of
-groups that stay apart are. Pairs within (number of segments - 1) bits
+groups that stay apart are, but in both steps with lone nodes they are judged where they meet and only near ones written. Pairs within (number of segments - 1) bits
 are found for certain, farther ones with a probability that the README states. Rows are numbered by scan, so ``docs`` is
 stored data.
 
@@ -249,16 +249,16 @@ def _shared(tuples: DataFrame, *places) -> DataFrame:
     return stored(entries.join(slots, "slot", "left_semi"))
 
 
-def _crossing(entries: DataFrame, roots: DataFrame, needed: str = "low < high") -> DataFrame:
+def _crossing(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """(slot, root, node, code) and further columns of ``roots``, of the slots in which several roots meet."""
     rooted = entries.join(roots, "node").select("slot", "node", "code", *(c for c in roots.columns if c != "node"))
-    ends = [F.min("root").alias("low"), F.max("root").alias("high"), *(F.max(c).alias(c) for c in roots.columns if c == "several")]
-    slots = stored(rooted.groupBy("slot").agg(*ends).where(needed).select("slot"))
+    slots = rooted.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    slots = stored(slots.where("low < high").select("slot"))
     return stored(rooted.join(slots, "slot", "left_semi"))
 
 
-def _side(entries: DataFrame, side: str) -> DataFrame:
-    return entries.select("slot", *(F.col(c).alias(f"{c}_{side}") for c in ("root", "node", "code")))
+def _side(entries: DataFrame, side: str, *more: str) -> DataFrame:
+    return entries.select("slot", *(F.col(c).alias(f"{c}_{side}") for c in ("root", "node", "code", *more)))
 
 
 def _near(tuples: DataFrame, pairs: DataFrame, apart: float) -> DataFrame:
@@ -273,59 +273,77 @@ def _near(tuples: DataFrame, pairs: DataFrame, apart: float) -> DataFrame:
 def _merged(roots: DataFrame, near: DataFrame) -> DataFrame:
     """``roots`` (node, root) with those joined that ``near`` (root_a, root_b) links."""
     joined = components(near, "root_a", "root_b").select(F.col("node").alias("member"), F.col("root").alias("merged"))
-    return stored(roots.join(joined, F.col("root") == F.col("member"), "left").select("node", F.coalesce("merged", "root").alias("root")))
+    others = [c for c in roots.columns if c not in ("node", "root")]
+    found = roots.join(joined, F.col("root") == F.col("member"), "left")
+    return stored(found.select("node", F.coalesce("merged", "root").alias("root"), *others))
 
 
-def _close_pairs(a: DataFrame, b: DataFrame, different: Column) -> DataFrame:
-    """Distinct pairs of the entries ``a`` and ``b`` (sides a and b) that share a slot with codes that are not too far apart."""
-    apart_in_code = F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b")))
-    met = a.join(b, "slot").where(different & (apart_in_code <= NEAR_CODE))
+def _counted(roots: DataFrame, near: DataFrame) -> DataFrame:
+    """``roots`` (node, root, degree) with the links ``near`` added to their nodes' degrees."""
+    ends = near.select("node_a").union(near.select("node_b")).groupBy(F.col("node_a").alias("linked")).agg(F.count(F.lit(1)).alias("more"))
+    degree = F.col("degree") + F.coalesce("more", F.lit(0).cast("bigint"))
+    return roots.join(ends, F.col("node") == F.col("linked"), "left").select("node", "root", degree.alias("degree"))
+
+
+def _close_pairs(a: DataFrame, b: DataFrame, *needed: Column) -> DataFrame:
+    """Distinct pairs of the entries ``a`` and ``b`` (sides a and b) that share a slot with codes that are not too far apart
+    and fulfil what else is ``needed``."""
+    met = a.join(b, "slot").where(F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= NEAR_CODE)
+    for condition in needed:
+        met = met.where(condition)
     return met.select("root_a", "root_b", "node_a", "node_b").distinct()
 
 
-def _gathered(tuples: DataFrame, shared: DataFrame, roots: DataFrame, width: int, each: int, apart: float) -> tuple[DataFrame, DataFrame]:
+def _gathered(tuples: DataFrame, shared: DataFrame, roots: DataFrame, width: int, each: int, apart: float) -> DataFrame:
     """``roots`` after rounds in which every entry meets the centre of its slot, an entry by chance, then the one with most
-    links; and (node, degree), the links found. A round takes further codes, and only slots whose roots still differ."""
-    degrees, done = None, 0
+    links; with ``degree``, the links found. A round takes further codes, and only slots whose roots still differ.
+
+    A node's degree travels with its root, so it is looked up once a node and not for each of its entries.
+    """
+    roots, done = roots.withColumn("degree", F.lit(0).cast("bigint")), 0
     for codes in STAR_CODES:
         low, high = (n * each << width for n in (done, done + codes))
-        done += codes
         entries = _crossing(shared.where((F.col("slot") >= low) & (F.col("slot") < high)), roots)
-        ranked = entries.withColumn("rank", F.xxhash64("slot", "node"))
-        if degrees is not None:
-            ranked = ranked.join(degrees, "node", "left").withColumn("rank", F.coalesce("degree", F.lit(0).cast("bigint")))
-        best = F.max(F.struct("rank", "node", "root", "code")).alias("centre")
-        centres = stored(ranked.groupBy("slot").agg(best).select("slot", "centre.*"))
+        rank = (F.col("degree") if done else F.xxhash64("slot", "node")).alias("rank")
+        done += codes
+        best = F.max(F.struct(rank, "node", "root", "code")).alias("centre")
+        centres = stored(entries.groupBy("slot").agg(best).select("slot", "centre.*"))
         near = _near(tuples, _close_pairs(_side(entries, "a"), _side(centres, "b"), F.col("root_a") != F.col("root_b")), apart)
-        ends = near.select(F.col("node_a").alias("node")).union(near.select("node_b")).withColumn("degree", F.lit(1).cast("bigint"))
-        degrees = ends if degrees is None else ends.union(degrees)
-        degrees = stored(degrees.groupBy("node").agg(F.sum("degree").alias("degree")))
-        roots = _merged(roots, near)
-    return roots, degrees
+        roots = _merged(_counted(roots, near), near)
+    return roots
+
+
+def _judged(a: DataFrame, b: DataFrame, different: Column, tables: int, apart: float) -> DataFrame:
+    """The near ones of ``_close_pairs``, for entries with ``codes``.
+
+    In a large group and around it many pairs meet that are not near, with the square of its size. They are judged on all
+    bits where they meet, so entries are written with the codes of their nodes but pairs never are.
+    """
+    differing = sum(F.bit_count(F.get("codes_a", F.lit(n)).bitwiseXOR(F.get("codes_b", F.lit(n)))) for n in range(tables))
+    return _close_pairs(a, b, different, differing <= apart * BITS * tables)
 
 
-def _heads_pairs(entries: DataFrame, degrees: DataFrame) -> DataFrame:
-    """Candidates of different roots; a root with several nodes in a slot has one entry there, that with most links."""
-    linked = F.coalesce("degree", F.lit(0).cast("bigint")).alias("degree")
-    heads = entries.join(degrees, "node", "left").groupBy("slot", "root").agg(F.max(F.struct(linked, "node", "code")).alias("entry"))
-    heads = stored(heads.select("slot", "root", "entry.node", "entry.code"))
-    return _close_pairs(_side(heads, "a"), _side(heads, "b"), F.col("root_a") < F.col("root_b"))
+def _heads_near(tuples: DataFrame, entries: DataFrame, tables: int, apart: float) -> DataFrame:
+    """Near pairs of different roots; a root with several nodes in a slot has one entry there, that with most links."""
+    heads = entries.groupBy("slot", "root").agg(F.max(F.struct("degree", "node", "code")).alias("entry"))
+    heads = stored(heads.select("slot", "root", "entry.node", "entry.code").join(tuples, "node"))
+    return _judged(_side(heads, "a", "codes"), _side(heads, "b", "codes"), F.col("root_a") < F.col("root_b"), tables, apart)
 
 
-def _members_pairs(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """Candidates of every member of a root with several nodes: with lone nodes, and with the members of other such roots."""
+def _members_near(tuples: DataFrame, entries: DataFrame, roots: DataFrame, tables: int, apart: float) -> DataFrame:
+    """The near pairs of every member of a root with several nodes: with lone nodes, and with the members of other such roots."""
     several = roots.groupBy("root").agg((F.count(F.lit(1)) > 1).alias("several"))
-    # Lone nodes have met in the step before, so slots without a member of a larger root are left out.
-    entries = _crossing(entries, stored(roots.join(several, "root")), "low < high and several")
+    # Stored in the order of nodes, whose codes then take the room of one copy. Lone nodes have met in the step before.
+    entries = stored(entries.join(roots.join(several, "root").join(tuples, "node"), "node"))
     members, lone = entries.where("several"), entries.where("not several")
-    with_lone = _close_pairs(_side(members, "a"), _side(lone, "b"), F.lit(True))
+    with_lone = _judged(_side(members, "a", "codes"), _side(lone, "b", "codes"), F.lit(True), tables, apart)
     # The roots of a slot are paired before their members are, so no two members of one root are ever compared.
     heads = members.select("slot", "root").distinct()
     first, second = (heads.select("slot", F.col("root").alias(f"root_{side}")) for side in "ab")
     met = first.join(second, "slot").where("root_a < root_b").join(_side(members, "a"), ["slot", "root_a"])
     across = met.join(_side(members, "b"), ["slot", "root_b"])
     close = F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= NEAR_CODE
-    return with_lone.union(across.where(close).select("root_a", "root_b", "node_a", "node_b").distinct())
+    return with_lone.union(_near(tuples, across.where(close).select("root_a", "root_b", "node_a", "node_b").distinct(), apart))
 
 
 def _near_groups(marked: DataFrame, segments: int, apart: float) -> DataFrame:
@@ -340,11 +358,11 @@ def _near_groups(marked: DataFrame, segments: int, apart: float) -> DataFrame:
     tables = tuples.select(F.max(F.size("codes"))).first()[0] or 1
     width, windows = _windows(tuples.count(), tables, segments)
     shared = _shared(tuples, tables, width, windows)
-    roots, degrees = _gathered(tuples, shared, roots, width, len(windows), apart)
+    roots = _gathered(tuples, shared, roots, width, len(windows), apart)
     # Roots only grow together, so the slots in which they meet become fewer.
     entries = _crossing(shared, roots)
-    roots = _merged(roots, _near(tuples, _heads_pairs(entries, degrees), apart))
-    roots = _merged(roots, _near(tuples, _members_pairs(entries.drop("root"), roots), apart))
+    roots = _merged(roots, _heads_near(tuples, entries, tables, apart)).drop("degree")
+    roots = _merged(roots, _members_near(tuples, entries.drop("root", "degree"), roots, tables, apart))
     return tuples.join(roots, "node").select("codes", "root")
 
 
